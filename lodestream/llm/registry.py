@@ -1,7 +1,7 @@
 """Queries of this subpackage and their SQL."""
 
-from lodestream.llm import fingerprint, licenses, packing, warc
+from lodestream.llm import fingerprint, licenses, packing, quality, warc
 
-PARTS = (fingerprint, warc, packing, licenses)
+PARTS = (fingerprint, warc, packing, licenses, quality)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
