@@ -1,7 +1,7 @@
 """Queries of this subpackage and their SQL."""
 
-from lodestream.llm import fingerprint, jaccard, licenses, packing, quality, warc
+from lodestream.llm import decontaminate, fingerprint, jaccard, licenses, packing, quality, warc
 
-PARTS = (fingerprint, warc, packing, jaccard, licenses, quality)
+PARTS = (fingerprint, warc, packing, decontaminate, jaccard, licenses, quality)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
