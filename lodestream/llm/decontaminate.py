@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from lodestream.llm.common import read, ship, text_of
 from lodestream.llm.words import ALNUM, Words, words
 
-REPEATS, SAMPLES, SEED, TOLERANCE = 16, 4, 20240229, 0.2
+REPEATS, SAMPLES, SEED, TOLERANCE = 12, 4, 20240229, 0.2
+EARLY = 6
 #: Where in the item the window of each repetition begins, in words, used in turn.
 OFFSETS = (0, 0, 1, 0, 2, 0, 3, 5)
 CLASSES = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128])
@@ -103,6 +104,15 @@ def walk(numbers: np.ndarray, hashes: np.ndarray, begin: np.ndarray, limit: np.n
     return np.stack((begin, state))
 
 
+def _sampled(rng: np.random.Generator, window: int, samples: int) -> list[int]:
+    """Sampled steps: the first, one of the next few (so that most walks end soon), and others of the whole walk."""
+    if window == 1:
+        return [0]
+    early = int(rng.integers(min(2, 2 * window - 2), min(EARLY, 2 * window - 2) + 1))
+    rest = rng.permutation(np.arange(1, 2 * window - 1))
+    return [0, *sorted({early, *rest[: samples - 2].tolist()})]
+
+
 def build(rows: list[tuple], repeats: int = REPEATS, samples: int = SAMPLES, seed: int = SEED) -> Index:
     """The index of (item id, text) rows."""
     w = lowered(pa.array([t or "" for _, t in rows], pa.string()))
@@ -116,7 +126,7 @@ def build(rows: list[tuple], repeats: int = REPEATS, samples: int = SAMPLES, see
     rng = np.random.default_rng(seed)
     for r in range(repeats):
         factors = rng.integers(0, 2**63, 2 * int(CLASSES[-1]), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        draws = {int(c): sorted({0, *(rng.permutation(np.arange(1, max(2, 2 * c - 1)))[: samples - 1].tolist() if c > 1 else [])}) for c in CLASSES}
+        draws = {int(c): _sampled(rng, int(c), samples) for c in CLASSES}
         offset = OFFSETS[r % len(OFFSETS)]
         by_class: dict[int, list[tuple[int, int]]] = {}
         for item, n in enumerate(sizes):
