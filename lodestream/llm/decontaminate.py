@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from lodestream.llm.common import read, ship, text_of
 from lodestream.llm.words import ALNUM, Words, words
 
-REPEATS, SAMPLES, SEED, TOLERANCE = 12, 4, 20240229, 0.2
+REPEATS, SAMPLES, SEED, TOLERANCE = 16, 3, 20240229, 0.2
 EARLY = 6
-#: Where in the item the window of each repetition begins, in words, used in turn.
-OFFSETS = (0, 0, 1, 0, 2, 0, 3, 5)
+#: Each repetition draws so many words of the item's first third, and its window begins with the one in the fewest items.
+DRAWN = 4
 CLASSES = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128])
 ABSENT, PAD = 0, 1
 PAD_HASH = np.uint64(0x0123456789ABCDEF)
@@ -123,15 +123,16 @@ def build(rows: list[tuple], repeats: int = REPEATS, samples: int = SAMPLES, see
     sizes = np.diff(w.first).tolist()
     numbers = np.searchsorted(vocabulary, w.hashes) + 2
     index = Index(vocabulary, maybe, [], [r[0] for r in rows], texts, sizes, [np.unique(numbers[i:j]) for i, j in zip(w.first[:-1], w.first[1:], strict=True)])
+    in_items = np.bincount(np.concatenate([np.zeros(0, np.int64), *index.words]), minlength=index.size)
     rng = np.random.default_rng(seed)
-    for r in range(repeats):
+    for _ in range(repeats):
         factors = rng.integers(0, 2**63, 2 * int(CLASSES[-1]), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         draws = {int(c): _sampled(rng, int(c), samples) for c in CLASSES}
-        offset = OFFSETS[r % len(OFFSETS)]
         by_class: dict[int, list[tuple[int, int]]] = {}
         for item, n in enumerate(sizes):
             if n:
-                skip = min(offset, max(n - 4, 0))
+                drawn = rng.integers(0, n // 3 + 1, DRAWN)
+                skip = int(drawn[np.argmin(in_items[numbers[w.first[item] + drawn]])])
                 by_class.setdefault(int(CLASSES[np.searchsorted(CLASSES, n - skip, "right") - 1]), []).append((item, skip))
         for window, members in by_class.items():
             begin = np.array([w.first[i] + skip for i, skip in members])
