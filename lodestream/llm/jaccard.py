@@ -181,8 +181,38 @@ def _stars(shared: DataFrame) -> DataFrame:
     return own.union(across).where("a <> b").distinct()
 
 
+def _allowed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """In how many tokens sets of n and m may differ and still be similar enough."""
+    return (n + m) * (100 - percent) // (100 + percent)
+
+
+def _words_of(column: pa.Array) -> np.ndarray:
+    """Sketches as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose sizes and sketches allow a link."""
+    about = sets.select("node", "n", "sketch")
+    joined = pairs.join(about.withColumnsRenamed({"node": "a", "n": "na", "sketch": "sa"}), "a").join(about.withColumnsRenamed({"node": "b", "n": "nb", "sketch": "sb"}), "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = b.column(2).to_numpy(), b.column(3).to_numpy()
+            apart = np.bitwise_count(_words_of(b.column(4)) ^ _words_of(b.column(5))).sum(1, dtype=np.int64)
+            ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (apart <= _allowed(n, m, percent))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in b.columns[:2]], ["a", "b"])
+
+    return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(check, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose sets are similar enough."""
+    """The pairs whose sets are similar enough. Only the sets of nodes in pairs are moved, if these are few enough to
+    be broadcast as a list."""
+    pairs = written(pairs, "pairs")
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "paired")
+    if nodes.count() <= MOST_BROADCAST:
+        sets = sets.join(F.broadcast(nodes), "node", "left_semi")
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("s"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("t"))
 
@@ -196,7 +226,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
                 kept.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
 
-    # The larger side of each join is split if one node is in very many pairs.
     return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(compare, "a long, b long")
 
 
@@ -211,8 +240,7 @@ def _candidates(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         apart = (t["x"][i] == t["y"][i]) | (t["block"][i] != t["block"][j])  # rows of one block meet in the block's own list
         ok = (t["label"][i] != t["label"][j]) & (100 * small >= percent * large) & apart
         i, j = i[ok], j[ok]
-        most = (t["n"][i] + t["n"][j]) * (100 - percent) // (100 + percent)  # what the sets may differ in
-        ok = np.bitwise_count(t["sketch"][i] ^ t["sketch"][j]).sum(1, dtype=np.int64) <= most
+        ok = np.bitwise_count(t["sketch"][i] ^ t["sketch"][j]).sum(1, dtype=np.int64) <= _allowed(t["n"][i], t["n"][j], percent)
         return i[ok], j[ok]
 
     def of_lists(t: dict) -> Iterator[np.ndarray]:
@@ -236,10 +264,7 @@ def _candidates(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         def done(table: pa.Table) -> pa.RecordBatch:
             table = table.combine_chunks()
             t = {c: table.column(c).to_numpy() for c in cols[:-1]}
-            joined = table.column("sketch").combine_chunks()
-            joined = joined.chunk(0) if isinstance(joined, pa.ChunkedArray) else joined
-            flat = b"".join(x.as_py() for x in joined)
-            t["sketch"] = np.frombuffer(flat, np.uint64).reshape(len(table), -1)
+            t["sketch"] = _words_of(table.column("sketch"))
             seen = [np.zeros((2, 0), np.int64)]
             for p in of_lists(t):
                 v = t["node"][p]
@@ -267,10 +292,9 @@ def _candidates(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def _spanning(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows for ``_candidates``: lists that hold several components, with each node's label and sketch."""
-    about = sets.select("node", "sketch").join(labels, "node", "left").select("node", "sketch", F.coalesce("label", "node").alias("label"))
-    rows = shared.select("token", "block", "blocks", "node", "n").join(about, "node")
+    rows = shared.select("token", "block", "blocks", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = rows.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("token")
-    rows = rows.join(several, "token", "left_semi")
+    rows = rows.join(several, "token", "left_semi").join(sets.select("node", "sketch"), "node")
     # Each row goes to its block paired with every block of the list, once for the pair.
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
     return rows.withColumn("p", F.explode(pairs)).select("token", "p.x", "p.y", "node", "n", "label", "block", "sketch")
@@ -292,13 +316,17 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = shared[0].select("node").distinct().join(nodes, "node").where("least is not null").select("node", F.col("least").alias("doc_id"))
     wanted = written(wanted, "wanted")
     few = wanted.count() <= MOST_BROADCAST
-    some = texts.where("doc_id is not null").join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text")
+    some = texts.where("doc_id is not null").join(F.broadcast(wanted) if few else wanted, "doc_id").select("text", "node")
 
-    def with_sets(_: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
-        kept = _fresh(sets)
-        return [pa.array([v for v, _ in kept], pa.int64()), pa.array([len(s) for _, s in kept], pa.int64()), pa.array([sketch(s) for _, s in kept], pa.binary()), pa.array([s.tobytes() for _, s in kept], pa.binary())]
+    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [(v, s) for v, s in zip(b.column(1).to_pylist(), shingle_sets(b.column(0)), strict=True) if len(s) and node_of(s) == v]
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in kept], pa.int64()), pa.array([len(s) for _, s in kept], pa.int64()), pa.array([sketch(s) for _, s in kept], pa.binary()), pa.array([s.tobytes() for _, s in kept], pa.binary())], ["node", "n", "sketch", "tokens"])
 
-    sets = written(_mapped(some, "node long, n long, sketch binary, tokens binary", with_sets).dropDuplicates(["node"]), "sets")
+    sets = some.mapInArrow(with_sets, "node long, n long, sketch binary, tokens binary")
+    if base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("doc_id is not null and rows > 1").limit(1).count():
+        sets = sets.dropDuplicates(["node"])  # the same id stands on several rows
+    sets = written(sets, "sets")
 
     def posted(order: int):
         def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,12 +337,11 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return turn
 
     for order in range(1, orders):
-        held = shared[-1].select("node").distinct()
-        shared.append(written(_shared(sets.join(held, "node", "left_semi").select("node", "tokens").mapInArrow(posted(order), POSTING)), f"postings-{order}"))
-    in_all = shared[-1].select("node").distinct()
-    shared = [x.join(in_all, "node", "left_semi") for x in shared[:-1]] + [shared[-1]]
+        shared.append(written(_shared(sets.select("node", "tokens").mapInArrow(posted(order), POSTING)), f"postings-{order}"))
+    for other in shared[1:]:
+        shared[0] = shared[0].join(other.select("node").distinct(), "node", "left_semi")
 
-    links = written(verified(_stars(shared[0]), sets, percent), "stars")
+    links = written(verified(plausible(_stars(shared[0]), sets, percent), sets, percent), "stars")
     labels = components(links)
     found = None
     for x in shared:
