@@ -1,16 +1,13 @@
 """What the operators share: the shared folder, tables written to cut lineage, and code shipped to executors."""
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
-
+from lodestream.shipping import ship_package
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,27 +29,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lodestream/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again, so that a lost executor costs no recomputation."""
+def written(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that a lost executor costs no recomputation. A small
+    table is written in a sixteenth of the usual number of files."""
     spark = df.sparkSession
-    df.write.parquet(path := fresh_path(spark, name))
+    (df.coalesce(max(1, partitions(spark) // 16)) if small else df).write.parquet(path := fresh_path(spark, name))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` kept on the executors' disks for the steps that read it again. What a lost executor held is computed
+    anew from its lineage, which is a few steps here; later steps and loops cut theirs with ``written``."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable on the executors, however the driver found it; and keep Arrow batches small,
     since one row can be a very long text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(prefix="lodestream-code-"), "lodestream_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(Path(root.name) / p.relative_to(root)))
-    sc.addPyFile(path)
-    _SHIPPED.add(sc.applicationId)
+    ship_package(spark)
 
 
 def text_of(column: str = "text"):
