@@ -1,7 +1,7 @@
 """All queries of the engine's own operators, with their SQL oracles."""
 
-from lodestream.plans import changelog_queries, mapreduce_queries, model_queries, routing_queries, state_queries
+from lodestream.plans import changelog_queries, mapreduce_queries, model_queries, replication_queries, routing_queries, state_queries
 
-PARTS = (mapreduce_queries, model_queries, changelog_queries, routing_queries, state_queries)
+PARTS = (mapreduce_queries, model_queries, changelog_queries, routing_queries, state_queries, replication_queries)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
