@@ -12,13 +12,13 @@ from lodestream.llm.common import written
 
 def components(links: DataFrame) -> DataFrame:
     """From (a, b) a row (node, label) per node that has a link; label is the component's smallest node."""
-    both = written(links.where("a <> b").select("a", "b").union(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    both = written(links.where("a <> b").select("a", "b").union(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links", small=True)
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels", small=True)
     while True:
         near = both.join(labels.withColumnsRenamed({"node": "b", "label": "l"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("l"))
         moved = labels.join(near, "node").select("node", "label", F.least("label", "l").alias("next"))
         jump = moved.select(F.col("node").alias("next"), F.col("next").alias("further"))
-        stepped = written(moved.join(jump, "next").select("node", F.col("label").alias("was"), F.least("next", "further").alias("label")), "labels")
+        stepped = written(moved.join(jump, "next").select("node", F.col("label").alias("was"), F.least("next", "further").alias("label")), "labels", small=True)
         labels = stepped.select("node", "label")
         if not stepped.where("label <> was").limit(1).count():
             return labels

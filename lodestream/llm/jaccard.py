@@ -1,22 +1,25 @@
 """N-gram Jaccard join by prefix filters under several global token orders.
 
-A text's set holds the 64-bit hashes of its distinct ``WORDS``-word shingles. Texts with equal sets are one node. If
-two sets are similar enough they share a token among the first n - ceil(t * n) + 1 of each, under any total order of
-tokens that is the same for all. The orders used here all put tokens seen in several texts last, the most frequent
-at the very end, and differ in how they order tokens of equal frequency. Frequencies steer only the cost: any order is
-exact, so the table of frequent tokens may be bounded (MOST_FREQUENT), and is then broadcast.
-
-1. Count the tokens in the first part of all sets under the first order without frequencies; keep the frequent ones.
-2. Post every set's prefix under the first order; a node that shares none of its prefix tokens has no link.
-3. Fetch the sets of the remaining nodes once, and post their prefixes under the other orders; a node stays only if it
-   shares a prefix token under every order.
+A text's set holds the 64-bit hashes of its distinct ``WORDS``-word shingles. Texts with equal sets are one node. Let a
+similar pair have sets of n and m tokens. Under any total order of tokens that is the same for all, the first k tokens
+that they share lie among the first n - ceil(t * n) + k of the one and m - ceil(t * m) + k of the other. With
+k = n // 10 + 1 a set's prefix is long enough to ask for many shared tokens, not just for one: a passage that many texts
+share does not make them candidates.
+
+1. Post every set's prefix under the first order. Tokens that a single node posts go; a node stays if enough of its
+   prefix is left for the least k of any partner.
+2. Each node drops its k - 1 most frequent prefix tokens. All nodes rank tokens alike, so of the tokens that a similar
+   pair shares at most k - 1 go, and at least one list still holds both.
+3. Fetch the sets of the remaining nodes once, and do the same under the other orders (other hashes of the tokens); a
+   node stays only if it passes under every order.
 4. Stars: in every list, compare the smallest and the largest node with all others and merge what is linked. Groups
    of near copies collapse here without a look at all their pairs.
 5. In every list that still spans components, pairs of different components are candidates if sizes and a parity
-   sketch (a lower bound of the symmetric difference) allow the similarity. Candidates of all orders are intersected
-   and verified on the sets.
+   sketch (a lower bound of the symmetric difference) allow the similarity. The candidates of all orders are
+   intersected and verified on the sets.
 
-Lists of tokens known to be very frequent are split into blocks, and pairs of blocks meet in tasks of their own.
+Lists of very frequent tokens, found on a sample, are split into blocks, and pairs of blocks meet in tasks of their own;
+the sample decides nothing else.
 
 Defined cases: null and blank texts have an empty set and are linked with nothing; a text of fewer than WORDS words is
 one shingle; repeated rows and copies are one node; documents with a null id get a component only if another document
@@ -28,20 +31,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodestream.llm.common import partitions, read, ship, text_of, written
+from lodestream.llm.common import kept, partitions, read, ship, text_of, written
 from lodestream.llm.components import components
 from lodestream.llm.words import MULTIPLIER, mix, words
 
 WORDS, PERCENT, ORDERS = 5, 80, 2
-#: Of the frequent tokens at most so many are broadcast (8 MB of hashes, 4 MB of counts); the others keep their place.
-MOST_FREQUENT = 1 << 20
-#: Share of a set whose tokens are counted: more than the prefix, since frequent tokens make room for later ones.
-COUNTED = 0.3
-BLOCK_ROWS = 5000
+#: One in SAMPLED documents is looked at for very frequent tokens; those seen in HOT of them or more are split.
+SAMPLED, HOT, MOST_HOT = 64, 60, 1 << 16
+BLOCK_ROWS = 4000
+#: So many rows of lists are looked at together; of their pairs each is given once.
+LEAST_DONE = 100_000
 #: Up to so many nodes are fetched by a broadcast of their ids (8 bytes each).
 MOST_BROADCAST = 500_000
 SKETCH_BITS = 1024
@@ -75,27 +78,39 @@ def node_of(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64))
 
 
+def spare(n: int) -> int:
+    """k: how many shared prefix tokens sets of n and more are asked for."""
+    return n // 10 + 1
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - -(-n * percent // 100) + 1
+    return n - -(-n * percent // 100) + spare(n)
+
+
+def needed(n: Column, percent: int = PERCENT) -> Column:
+    """The least k of any partner: of the smallest set that can be similar to one of n."""
+    return F.floor(F.ceil(n * percent / 100) / 10) + 1
 
 
 @dataclass
-class Orders:
-    """Frequent tokens, sorted by hash, and their counts."""
+class Hot:
+    """Very frequent tokens, sorted, and into how many blocks their lists are split."""
 
     tokens: np.ndarray
-    counts: np.ndarray
+    blocks: np.ndarray
 
-    def prefix(self, s: np.ndarray, order: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-        """The first tokens of a set under an order, and their counts (0: not frequent)."""
-        if order:
-            s = s[np.argsort(mix(s ^ np.uint64(order * 0x2545F4914F6CDD1D)))]
-        count = np.zeros(len(s), np.int64)
-        if len(self.tokens):
-            at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
-            count = np.where(self.tokens[at] == s, self.counts[at], 0)
-        ranked = np.argsort(count, kind="stable")[: prefix_length(len(s), percent)]
-        return s[ranked], count[ranked]
+    def of(self, s: np.ndarray) -> np.ndarray:
+        if not len(self.tokens):
+            return np.ones(len(s), np.int64)
+        at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == s, self.blocks[at], 1)
+
+
+def prefix(s: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
+    """The first tokens of a set (sorted by hash) under an order."""
+    if order:
+        s = s[np.argsort(mix(s ^ np.uint64(order * 0x2545F4914F6CDD1D)))]
+    return s[: prefix_length(len(s), percent)]
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -128,52 +143,52 @@ def _fresh(sets: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
     return list({node_of(s): s for s in sets if len(s) > 3}.items())
 
 
-def frequent(texts: DataFrame) -> Orders:
-    """The tokens that the first parts of several sets hold, the most frequent ones if there are too many."""
+def hot_tokens(texts: DataFrame, orders: int, percent: int) -> Hot:
+    """Tokens that very many prefixes hold, judged by a sample of the documents. This decides only how lists are dealt."""
 
     def counted(_: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
-        parts = [s[: int(len(s) * COUNTED) + 1] for _, s in _fresh(sets)]
+        parts = [prefix(s, order, percent) for _, s in _fresh(sets) for order in range(orders)]
         tokens, counts = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
         return [pa.array(tokens.view(np.int64)), pa.array(counts)]
 
-    found = written(_mapped(texts, "token long, n long", counted).groupBy("token").agg(F.sum("n").alias("n")).where("n > 1"), "tokens")
-    by_count = found.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("tokens")).orderBy(F.desc("n")).collect()  # at most 999 rows
-    least, total = 1001, 0
-    for r in by_count:
-        total += r.tokens
-        if total > MOST_FREQUENT:
-            break
-        least = r.n
-    rows = found.where(F.col("n") >= least).toArrow()  # at most MOST_FREQUENT
+    some = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SAMPLED)) == 0)
+    found = _mapped(some, "token long, n long", counted).groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
+    rows = found.orderBy(F.desc("n"), "token").limit(MOST_HOT).toArrow()
     tokens, counts = rows.column("token").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     by_hash = np.argsort(tokens)
-    return Orders(tokens[by_hash], np.minimum(counts[by_hash], 2**31 - 1).astype(np.int32))
+    return Hot(tokens[by_hash], counts[by_hash] * SAMPLED // BLOCK_ROWS + 1)
 
 
 POSTING = "token long, block int, blocks int, node long, n long"
 
 
-def _postings(pairs: list[tuple[int, np.ndarray]], orders: Orders, order: int, percent: int) -> list[pa.Array]:
+def _postings(pairs: list[tuple[int, np.ndarray]], hot: Hot, order: int, percent: int) -> list[pa.Array]:
     """Prefix tokens of (node, set) pairs. ``blocks``: into how many blocks the token's list is split; block: the node's."""
-    prefixes = [orders.prefix(s, order, percent) for _, s in pairs]
-    sizes = [len(t) for t, _ in prefixes]
+    prefixes = [prefix(s, order, percent) for _, s in pairs]
+    sizes = [len(t) for t in prefixes]
     nodes = np.repeat(np.array([v for v, _ in pairs], np.int64), sizes)
-    tokens = np.concatenate([t for t, _ in prefixes]) if pairs else np.zeros(0, np.uint64)
-    blocks = np.concatenate([c for _, c in prefixes]) // BLOCK_ROWS + 1 if pairs else np.zeros(0, np.int64)
+    tokens = np.concatenate(prefixes) if pairs else np.zeros(0, np.uint64)
+    blocks = hot.of(tokens)
     return [pa.array(tokens.view(np.int64)), pa.array((nodes % blocks).astype(np.int32)), pa.array(blocks.astype(np.int32)), pa.array(nodes), pa.array(np.repeat(np.array([len(s) for _, s in pairs], np.int64), sizes))]
 
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """Postings of tokens that several nodes post, with the least and the greatest node of each block of the list."""
+def _shared(postings: DataFrame, percent: int) -> DataFrame:
+    """Postings (token, block, blocks, node, n) that are left of nodes that can have a link: steps 1 and 2."""
     spark = postings.sparkSession
-    rows = postings.repartition(partitions(spark), "token", "block")
     block = W.partitionBy("token", "block")
-    rows = rows.withColumns({"low": F.min("node").over(block), "high": F.max("node").over(block)})
-    return rows.where("low <> high or blocks > 1").dropDuplicates(["token", "block", "node"])  # copies post the same
+    rows = postings.repartition(partitions(spark), "token", "block").withColumns({"low": F.min("node").over(block), "high": F.max("node").over(block), "df": F.count(F.lit(1)).over(block)})
+    # Copies post the same token for the same node. A list in blocks has the same rank everywhere: before all others.
+    rows = rows.where("low <> high or blocks > 1").withColumn("df", F.when(F.col("blocks") > 1, F.lit(2**62)).otherwise(F.col("df")))
+    rows = rows.select("token", "block", "blocks", "node", "n", "df").dropDuplicates(["token", "block", "node"])
+    of_node = W.partitionBy("node")
+    ranked = rows.withColumns({"held": F.count(F.lit(1)).over(of_node), "rank": F.row_number().over(of_node.orderBy(F.desc("df"), "token"))})
+    return ranked.where((F.col("held") >= needed(F.col("n"), percent)) & (F.col("rank") >= needed(F.col("n"), percent))).select("token", "block", "blocks", "node", "n")
 
 
 def _stars(shared: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of every node with the least and the greatest of its block, and of these with the list's least."""
+    block = W.partitionBy("token", "block")
+    shared = shared.withColumns({"low": F.min("node").over(block), "high": F.max("node").over(block)}).where("low <> high or blocks > 1")
     own = shared.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*")
     split = shared.where("blocks > 1")
     least = split.groupBy("token").agg(F.min("low").alias("a"))
@@ -209,8 +224,8 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose sets are similar enough. Only the sets of nodes in pairs are moved, if these are few enough to
     be broadcast as a list."""
-    pairs = written(pairs, "pairs")
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "paired")
+    pairs = written(pairs, "pairs", small=True)
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "paired", small=True)
     if nodes.count() <= MOST_BROADCAST:
         sets = sets.join(F.broadcast(nodes), "node", "left_semi")
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("s"))
@@ -231,8 +246,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 def _candidates(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b), a < b, of nodes of different components in the same list whose sizes and sketches allow a link.
-    rows: token, x, y (the list, or two blocks of it), node, n, label, sketch."""
-    cols = ("token", "x", "y", "node", "n", "label", "block", "sketch")
+    rows: low, token, x, y (the list, or two blocks of it), node, n, label, sketch. A pair is in many lists; lists with
+    the same least node (low) are dealt to the same task, which gives each pair once."""
+    cols = ("token", "x", "y", "low", "node", "n", "label", "block", "sketch")
 
     def bounded(t: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the pairs of rows (i, j), those that pass all filters."""
@@ -254,9 +270,13 @@ def _candidates(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
             i = rows[rows + gap < last]
             yield np.stack(bounded(t, i, i + gap))
         for start, size in zip(change[sizes > 64], sizes[sizes > 64], strict=True):
-            for k in range(64, size):  # the gaps that are left, in steps of one row against all later ones
-                i = start + np.arange(size - k)
-                yield np.stack(bounded(t, i, i + k))
+            # The gaps that are left. Rows of the most frequent label need no look at each other.
+            labels, which, count = np.unique(t["label"][start : start + size], return_inverse=True, return_counts=True)
+            most = count.argmax()
+            place = np.arange(size)
+            for k in np.flatnonzero(which != most):
+                far = place[(np.abs(place - k) >= 64) & ((which == most) | (place > k))]
+                yield np.stack(bounded(t, np.full(len(far), start + k), start + far))
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -279,25 +299,25 @@ def _candidates(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
                 continue
             open_ = np.flatnonzero((token != token[-1]) | (x != x[-1]) | (y != y[-1]))
             cut = int(open_[-1]) + 1 if len(open_) else 0
-            if cut > 20_000:
+            if cut > LEAST_DONE:
                 yield done(held.slice(0, cut))
                 held = held.slice(cut)
         if held is not None and len(held):
             yield done(held)
 
     spark = rows.sparkSession
-    dealt = rows.select(*cols).repartition(partitions(spark), "token", "x", "y").sortWithinPartitions("token", "x", "y", "n", "node")
+    dealt = rows.select(*cols).repartition(partitions(spark), "low").sortWithinPartitions("low", "token", "x", "y", "n", "node")
     return dealt.mapInArrow(turn, "a long, b long").distinct()
 
 
 def _spanning(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows for ``_candidates``: lists that hold several components, with each node's label and sketch."""
     rows = shared.select("token", "block", "blocks", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = rows.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("token")
-    rows = rows.join(several, "token", "left_semi").join(sets.select("node", "sketch"), "node")
+    several = rows.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("node").alias("low")).where("l0 <> l1").select("token", "low")
+    rows = rows.join(several, "token").join(sets.select("node", "sketch"), "node")
     # Each row goes to its block paired with every block of the list, once for the pair.
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
-    return rows.withColumn("p", F.explode(pairs)).select("token", "p.x", "p.y", "node", "n", "label", "block", "sketch")
+    return rows.withColumn("p", F.explode(pairs)).select("token", "p.x", "p.y", "low", "node", "n", "label", "block", "sketch")
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
@@ -305,16 +325,16 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     ship(spark)
     texts = _texts(docs, id_col, text_col)
-    base = written(_mapped(texts, "doc_id long, node long, n_shingles long", _nodes), "nodes")
+    base = kept(_mapped(texts, "doc_id long, node long, n_shingles long", _nodes))
     nodes = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    table = spark.sparkContext.broadcast(frequent(texts))
+    table = spark.sparkContext.broadcast(hot_tokens(texts, orders, percent))
 
     first = _mapped(texts, POSTING, lambda _, sets: _postings(_fresh(sets), table.value, 0, percent))
-    shared = [written(_shared(first), "postings-0")]
+    shared = [kept(_shared(first, percent))]
 
-    # Only nodes with a shared prefix token matter from here on; one document of each brings its set.
+    # Only these nodes matter from here on; one document of each brings its set.
     wanted = shared[0].select("node").distinct().join(nodes, "node").where("least is not null").select("node", F.col("least").alias("doc_id"))
-    wanted = written(wanted, "wanted")
+    wanted = written(wanted, "wanted", small=True)
     few = wanted.count() <= MOST_BROADCAST
     some = texts.where("doc_id is not null").join(F.broadcast(wanted) if few else wanted, "doc_id").select("text", "node")
 
@@ -326,7 +346,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = some.mapInArrow(with_sets, "node long, n long, sketch binary, tokens binary")
     if base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("doc_id is not null and rows > 1").limit(1).count():
         sets = sets.dropDuplicates(["node"])  # the same id stands on several rows
-    sets = written(sets, "sets")
+    sets = kept(sets)
 
     def posted(order: int):
         def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,17 +357,17 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return turn
 
     for order in range(1, orders):
-        shared.append(written(_shared(sets.select("node", "tokens").mapInArrow(posted(order), POSTING)), f"postings-{order}"))
+        shared.append(kept(_shared(sets.select("node", "tokens").mapInArrow(posted(order), POSTING), percent)))
     for other in shared[1:]:
         shared[0] = shared[0].join(other.select("node").distinct(), "node", "left_semi")
 
-    links = written(verified(plausible(_stars(shared[0]), sets, percent), sets, percent), "stars")
+    links = written(verified(plausible(_stars(shared[0]), sets, percent), sets, percent), "stars", small=True)
     labels = components(links)
     found = None
     for x in shared:
         here = _candidates(_spanning(x, labels, sets), percent)
         found = here if found is None else found.join(here, ["a", "b"], "left_semi")
-    more = written(verified(found, sets, percent), "links")
+    more = written(verified(found, sets, percent), "links", small=True)
     labels = components(links.union(more))
 
     leasts = labels.join(nodes, "node").groupBy("label").agg(F.min("least").alias("component"))
