@@ -37,6 +37,13 @@ def written(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete what ``written`` has left in the shared folder. No result that still reads it may be in use."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/lodestream")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` kept on the executors' disks for the steps that read it again. What a lost executor held is computed
     anew from its lineage, which is a few steps here; later steps and loops cut theirs with ``written``."""

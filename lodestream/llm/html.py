@@ -40,8 +40,9 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe textarea title svg canvas object embed video audio map button select input dialog menu".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 DROPPED_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar side-bar rail menu nav navbar navigation topnav breadcrumb breadcrumbs footer masthead comment comments disqus respond replies reply discussion feedback related recommended recirculation share sharing social widget widgets pagination pager toolbar search login hidden skip".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar side-bar rail menu nav navbar navigation topnav breadcrumb breadcrumbs footer masthead comment comments disqus respond replies reply discussion feedback responses reactions guestbook related recommended recirculation share sharing social widget widgets pagination pager toolbar search login hidden skip announcement toast paywall disclaimer copyright legal".split()
 )
+HEADER_WORDS = frozenset("header site-header page-header main-header top-header topbar top-bar logo tagline".split())
 MAIN_WORDS = frozenset("article articlebody article-body post-content post-body entry-content story story-body main-content content main post entry text body-text".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S)
@@ -160,6 +161,8 @@ def boilerplate(node: Node, inside_article: bool) -> bool:
         return not inside_article
     if not node.words:
         return False
+    if not inside_article and not HEADER_WORDS.isdisjoint(node.words):
+        return True
     for w in node.words:
         if w in DROPPED_WORDS or not DROPPED_WORDS.isdisjoint(re.split(r"[-_]+", w)):
             if w in MAIN_WORDS:
@@ -216,9 +219,11 @@ def find(root: Node, tag: str) -> list[Node]:
     out, todo = [], [root]
     while todo:
         x = todo.pop()
+        if boilerplate(x, False):
+            continue
         if x.tag == tag:
             out.append(x)
-        elif not boilerplate(x, False):
+        else:
             todo += reversed(x.children())
     return out
 

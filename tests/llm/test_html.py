@@ -17,6 +17,16 @@ def test_article():
     assert h.main_text(PAGE, []) == "A & B\n\nFirst line goes on\n\nSecond bold one.\n\nitem one\n\nitem two"
 
 
+def test_comments_and_headers_around_the_article():
+    page = """<body><div class="site-header"><p>The Site</p></div><main><article><h2>T</h2><p>Body.</p>
+    <ol class="comment-list"><li><article class="comment"><p>A very long comment of a reader that is longer than all the rest of it.</p></article></li></ol></article>
+    <article class="comment"><p>Another very long comment of a reader that is longer than all the rest of it here.</p></article></main>
+    <div id="newsletter-signup"><form><p>Join</p></form></div><div role="complementary">side</div></body>"""
+    assert h.main_text(page, []) == "T\n\nBody."
+    named = '<body><div class="header">H</div><div id="content" class="post"><p>One.</p><p>Two &lt;3</p><div class="user_comments">c</div></div><div class="sidebar">s</div></body>'
+    assert h.main_text(named, []) == "One.\n\nTwo <3"
+
+
 def page(title, paragraphs, links="a b c"):
     items = "".join(f"<li><a href=x>{x}</a></li>" for x in links.split())
     return f"<html><body><div><ul>{items}</ul></div><div>Menu of the site that never changes</div><div><h2>{title}</h2>{''.join(f'<p>{p}</p>' for p in paragraphs)}</div><div>All rights reserved by the site.</div></body></html>"
