@@ -87,6 +87,18 @@ def levels(log: DataFrame, ratio: int = 10, base: int = 1 << 14, most: int = 4)
     return by_level.withColumn("over", F.col("bytes") > F.lit(base) * F.pow(F.lit(ratio), F.col("level")))
 
 
+def compact_level(log: DataFrame, level_of: Column, level: int, bottom: bool) -> DataFrame:
+    """The log (with a column level) after the oldest segment of a level is merged into the next level: of each key of
+    the merged segments the last change stays. Tombstones stay too, unless the next level is the bottom."""
+    rows = log.withColumn("level", level_of)
+    oldest = rows.where(F.col("level") == level).agg(F.min("segment_id").alias("_oldest"))
+    merging = (F.col("level") == level + 1) | ((F.col("level") == level) & (F.col("segment_id") == F.col("_oldest")))
+    marked = rows.crossJoin(oldest).withColumn("_m", F.coalesce(merging, F.lit(False))).drop("_oldest")
+    merged = latest(marked.where("_m"), ["key"], "seq", [c for c in log.columns if c != "key"]).withColumn("level", F.lit(level + 1))
+    merged = merged.where("not deleted") if bottom else merged
+    return marked.where("not _m").drop("_m").unionByName(merged)
+
+
 def bloom_positions(key: Column, size: int, hashes: int) -> Column:
     """The bits of a key by double hashing."""
     h1, h2 = F.pmod(F.xxhash64(key), F.lit(size)), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(size - 1)) + 1

@@ -116,3 +116,11 @@ def ewma_step(state, row, weight: float = 0.1):
         deviation = (1 - weight) * deviation + weight * abs(row.value - estimate)
         estimate = (1 - weight) * estimate + weight * row.value
     return (estimate, deviation), (estimate, deviation, estimate + 4 * deviation)
+
+
+def memtable_step(state, row, size: int = 5):
+    """A memtable of ``size`` keys: the run that a write goes to; a new key that no longer fits starts the next run."""
+    keys, run = state or (frozenset(), 0)
+    if row.owner not in keys and len(keys) == size:
+        keys, run = frozenset(), run + 1
+    return (keys | {row.owner}, run), (run,)

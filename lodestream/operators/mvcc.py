@@ -86,3 +86,17 @@ def dangerous(edges: DataFrame) -> DataFrame:
 def two_phase_outcome(votes: DataFrame, txn: str) -> DataFrame:
     """Commit if all participants voted yes."""
     return votes.groupBy(txn).agg(F.when(F.bool_and("ok"), "committed").otherwise("aborted").alias("outcome"), F.count(F.lit(1)).alias("participants"))
+
+
+#: Isolation levels: what bounds the versions that a read may see. Serializable reads are snapshot reads whose commits
+#: are checked for dangerous structures.
+ISOLATION = ("read_uncommitted", "read_committed", "repeatable_read", "snapshot", "serializable")
+
+
+def read(versions: DataFrame, isolation: str, begun_ts: int, now_ts: int) -> DataFrame:
+    """key and value as a transaction that began at ``begun_ts`` reads them at ``now_ts``."""
+    if isolation not in ISOLATION:
+        raise ValueError(f"unknown isolation level {isolation}")
+    if isolation == "read_uncommitted":
+        return uncommitted(versions, now_ts).select("key", "value")
+    return snapshot(versions, now_ts if isolation == "read_committed" else begun_ts).select("key", "value")

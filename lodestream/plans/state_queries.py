@@ -35,6 +35,16 @@ def mvcc_read_uncommitted(spark, sf_dir):
     return mv.uncommitted(versions(spark, sf_dir), T0)
 
 
+def mvcc_isolation(spark, sf_dir):
+    """Keys and values that each isolation level shows to the same transaction a day after it began."""
+    v = versions(spark, sf_dir)
+    seen = None
+    for level in mv.ISOLATION:
+        here = mv.read(v, level, T0, T0 + DAY).agg(F.count(F.lit(1)).alias("keys"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total")).withColumn("isolation", F.lit(level))
+        seen = here if seen is None else seen.unionByName(here)
+    return seen
+
+
 def mvcc_own_writes(spark, sf_dir):
     """Pending writes of one transaction (keys up to 20, those divisible by 7 deleted) over its snapshot."""
     pending = spark.range(0, 21).select(F.col("id").alias("key"), F.lit(-1.0).alias("value"), (F.col("id") % 7 == 0).alias("deleted"))
@@ -127,11 +137,11 @@ def retry_delays(spark, sf_dir):
     return spark.range(12).select(F.col("id").alias("attempt"), F.least(F.lit(0.1) * F.pow(F.lit(2.0), F.col("id")), F.lit(30.0)).alias("delay"))
 
 
-QUERIES = {f.__name__: f for f in (mvcc_asof_read, mvcc_snapshot, mvcc_read_committed, mvcc_read_uncommitted, mvcc_own_writes, mvcc_aborted, mvcc_write_conflicts, ssi_rw_edges, ssi_dangerous, twopc_outcome, sm_kv, sm_kv_snapshot, sm_config_version, sm_config_prefix, sm_config_batch, retry_delays)}
+QUERIES = {f.__name__: f for f in (mvcc_asof_read, mvcc_snapshot, mvcc_read_committed, mvcc_read_uncommitted, mvcc_isolation, mvcc_own_writes, mvcc_aborted, mvcc_write_conflicts, ssi_rw_edges, ssi_dangerous, twopc_outcome, sm_kv, sm_kv_snapshot, sm_config_version, sm_config_prefix, sm_config_batch, retry_delays)}
 QUERIES |= {
     "mvcc_gc": _gc(False), "mvcc_gc_safe": _gc(True),
     "sm_lock": _fold(fo.lock_step, "ok boolean, holder long"), "sm_kv_cas": _fold(fo.cas_step, "ok boolean, value long"), "sm_election": _fold(fo.election_step, "ok boolean, leader long, term long"),
-    "circuit_breaker": _fold(fo.breaker_step, "allowed boolean, mode int"), "rate_limiter": _fold(fo.limiter_step, "allowed boolean, before int"), "ewma_rtt": _fold(fo.ewma_step, "estimate double, deviation double, timeout double"),
+    "circuit_breaker": _fold(fo.breaker_step, "allowed boolean, mode int"), "rate_limiter": _fold(fo.limiter_step, "allowed boolean, before int"), "lsm_runs": _fold(fo.memtable_step, "run int"), "ewma_rtt": _fold(fo.ewma_step, "estimate double, deviation double, timeout double"),
 }
 
 SEEN = "SELECT *, row_number() OVER (PARTITION BY key ORDER BY commit_ts DESC, txn_id DESC) AS r FROM versions WHERE NOT aborted AND commit_ts <= {}"
@@ -155,6 +165,10 @@ ORACLES = {
     "mvcc_snapshot": f"WITH {VERSIONS} {SNAPSHOT.format(T0)}",
     "mvcc_read_committed": f"WITH {VERSIONS} SELECT key, a.value AS first, b.value AS second FROM ({SNAPSHOT.format(T0)}) a FULL JOIN ({SNAPSHOT.format(T0 + DAY)}) b USING (key)",
     "mvcc_read_uncommitted": f"WITH {VERSIONS} SELECT key, value, txn_id FROM versions WHERE start_ts <= {T0} QUALIFY row_number() OVER (PARTITION BY key ORDER BY start_ts DESC, txn_id DESC) = 1",
+    "mvcc_isolation": f"""WITH {VERSIONS}, u AS (SELECT value FROM versions WHERE start_ts <= {T0 + DAY} QUALIFY row_number() OVER (PARTITION BY key ORDER BY start_ts DESC, txn_id DESC) = 1)
+SELECT 'read_uncommitted' AS isolation, count(*) AS keys, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM u
+UNION ALL SELECT 'read_committed', count(*), sum(value::DECIMAL(18,2))::DOUBLE FROM ({SNAPSHOT.format(T0 + DAY)})
+UNION ALL SELECT l, count(*), sum(value::DECIMAL(18,2))::DOUBLE FROM ({SNAPSHOT.format(T0)}), (SELECT unnest(['repeatable_read', 'snapshot', 'serializable']) AS l) GROUP BY l""",
     "mvcc_own_writes": f"WITH {VERSIONS} SELECT key, value FROM ({SNAPSHOT.format(T0)}) WHERE key > 20 UNION ALL SELECT range AS key, -1.0::DOUBLE AS value FROM range(21) WHERE range % 7 <> 0",
     "mvcc_aborted": f"WITH {VERSIONS} SELECT key, count(*) AS versions, max(txn_id) AS last_txn FROM versions WHERE NOT aborted GROUP BY key",
     "mvcc_gc": f"WITH {VERSIONS}, {GC} SELECT key, count(*) AS versions, min(txn_id) AS oldest FROM g WHERE commit_ts >= {T0} OR (l < {T0} AND commit_ts = l) GROUP BY key",
@@ -179,5 +193,6 @@ CASE WHEN NOT ({ALLOWED}) THEN f.failures WHEN c.op = 'error' THEN f.failures +
 CASE WHEN ({ALLOWED}) AND c.op = 'error' AND (({MODE}) = 2 OR f.failures + 1 >= 2) THEN c.t ELSE f.opened END,
 CASE WHEN NOT ({ALLOWED}) THEN f.successes ELSE (CASE WHEN f.mode = 1 THEN 0 ELSE f.successes END) + CASE WHEN c.op <> 'error' AND ({MODE}) = 2 THEN 1 ELSE 0 END END, {ALLOWED}""", "allowed, mode"),
     "rate_limiter": _machine("[]::BIGINT[] AS passed, false AS allowed, 0 AS before", "", "CASE WHEN len(list_filter(f.passed, lambda x: x > c.t - 7200)) < 3 THEN list_append(list_filter(f.passed, lambda x: x > c.t - 7200), c.t) ELSE list_filter(f.passed, lambda x: x > c.t - 7200) END, len(list_filter(f.passed, lambda x: x > c.t - 7200)) < 3, len(list_filter(f.passed, lambda x: x > c.t - 7200))::INT", "allowed, before"),
+    "lsm_runs": _machine("[]::BIGINT[] AS m, 0 AS run", "", "CASE WHEN list_contains(f.m, c.owner) THEN f.m WHEN len(f.m) = 5 THEN [c.owner] ELSE list_append(f.m, c.owner) END, CASE WHEN NOT list_contains(f.m, c.owner) AND len(f.m) = 5 THEN f.run + 1 ELSE f.run END", "run"),
     "ewma_rtt": _machine("NULL::DOUBLE AS e, NULL::DOUBLE AS d", "", "CASE WHEN f.e IS NULL THEN c.value::DOUBLE ELSE (1 - 0.1::DOUBLE) * f.e + 0.1::DOUBLE * c.value END, CASE WHEN f.e IS NULL THEN c.value / 2.0::DOUBLE ELSE (1 - 0.1::DOUBLE) * f.d + 0.1::DOUBLE * abs(c.value - f.e) END", "e AS estimate, d AS deviation, e + 4 * d AS timeout"),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.operators import changelog, codec, mapreduce, models, mvcc, replication, routing
 from lodestream.plans.views import kv_log
+from lodestream.sources import logs, stores
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -124,6 +125,23 @@ def test_traversal_and_paths(spark):
     assert got == {1: (0, "1"), 2: (1, "1>2"), 5: (1, "1>5"), 3: (2, "1>2>3"), 4: (2, "1>5>4")}
 
 
+def test_user_service(spark):
+    from lodestream.operators.user_api import UserApi
+
+    users = spark.createDataFrame([("alice", "Alice", "alice@example.com", 30)], "id string, name string, email string, age int")
+    api = UserApi(users, spark.createDataFrame([], "from_id string, to_id string, rel_type string"))
+    assert api.create({"name": "x"})[0] == 400 and api.create({"id": "bob", "name": "Bob", "age": 4})[0] == 201
+    assert api.get("bob") == (200, {"id": "bob", "name": "Bob", "email": None, "age": 4}) and api.get("eve")[0] == 404
+    assert api.add_relationship("alice", {"to": "bob"})[0] == 400
+    for _ in range(2):
+        assert api.add_relationship("alice", {"to": "bob", "type": "follows"})[0] == 201
+    assert [tuple(r) for r in api.relationships("alice", "follows")[1].collect()] == [("bob", "follows")]
+    assert api.update("alice", {"age": 31})[0] == 200 and api.get("alice")[1]["age"] == 31 and api.get("alice")[1]["name"] == "Alice"
+    assert api.update("nobody", {"age": 1})[0] == 200 and api.get("nobody")[0] == 404
+    assert [r.id for r in api.find({"name": "AL", "age": 31})[1].collect()] == ["alice"] and api.find({"shoe": 1})[1].count() == 0
+    assert api.delete("bob")[0] == 200 and api.relationships("alice")[1].count() == 0 and api.delete("bob")[0] == 200
+
+
 def test_nearest_rank(spark):
     for n in (1, 2, 10, 100):
         df = spark.range(n).select(F.lit("k").alias("k"), F.col("id").alias("v"))
@@ -131,6 +149,42 @@ def test_nearest_rank(spark):
         assert (r.p50, r.p95) == (n // 2, int(n * 0.95))
 
 
+def test_level_compaction_keeps_the_live_view(spark):
+    log = kv_log(spark, SMALL).withColumn("segment_id", F.floor(F.col("seq") / 100))
+    level = F.floor((9 - F.col("segment_id")) / 4)
+    view = lambda x: {tuple(r) for r in changelog.live(x).collect()}
+    for bottom in (False, True):
+        assert view(changelog.compact_level(log, level, 1, bottom)) == view(log)
+    assert view(changelog.compact_level(log, level, 0, False)) == view(log)
+
+
+def test_binary_logs(spark, tmp_path):
+    (tmp_path / "seg").mkdir()
+    parts = [[("a", "1"), ("b", ""), ("é", "ü")], [("a", None), ("c", "3")]]
+    for i, records in enumerate(parts):
+        data = b"".join(logs.segment_record(k, v) for k, v in records)
+        (tmp_path / "seg" / f"segment_{i}.log").write_bytes(data + (b"\0\0\0\5\0" if i else b""))  # the last record is cut off
+    rows = logs.read_segments(spark, str(tmp_path / "seg"))
+    assert {(r.key, r.value) for r in changelog.live(rows).collect()} == {("b", ""), ("é", "ü"), ("c", "3")}
+    (tmp_path / "wal").mkdir()
+    (tmp_path / "wal" / "x.wal").write_bytes(b"".join(logs.wal_entry(i, logs.PUT if i < 3 else logs.DELETE, f"key_{i}", "" if i == 1 else f"v{i}", i / 2) for i in range(4)))
+    got = sorted(tuple(r) for r in logs.read_wal(spark, str(tmp_path / "wal")).collect())
+    assert got == [(0, 1, "key_0", "v0", 0.0), (1, 1, "key_1", "", 0.5), (2, 1, "key_2", "v2", 1.0), (3, 2, "key_3", None, 1.5)]
+
+
+def test_json_stores(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.json").write_text('{"_id": "alice", "age": 3, "deep": {"x": [1, 2]}}')
+    (tmp_path / "docs" / "b.json").write_text("{broken")
+    assert [r.id for r in stores.read_documents(spark, str(tmp_path / "docs")).collect()] == ["alice"]
+    (tmp_path / "g.json").write_text('{"nodes": {"a": {"n": 1}, "b": {}}, "edges": {"a": [{"to": "b", "type": "follows"}]}}')
+    nodes, edges = stores.read_graph(spark, str(tmp_path / "g.json"))
+    assert {r.id for r in nodes.collect()} == {"a", "b"} and [tuple(r) for r in stores.reverse(edges).collect()] == [("b", "a", "follows")]
+    pairs = spark.createDataFrame([("x", 1), ("y", 2), ("x", 3)], "k string, v long")
+    stores.write_pairs(pairs, str(tmp_path / "out"), 2)
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "out")).collect())) == [("x", 1), ("x", 3), ("y", 2)]
+
+
 # The record format --------------------------------------------------------------------------------------------------
 USER = {
     1: codec.Schema("User", 1, (codec.Field(1, "id", "INT64", True), codec.Field(2, "name", "STRING", True), codec.Field(3, "email", "STRING"))),

@@ -68,3 +68,17 @@ def test_tumbling_stream_equals_table(spark, tmp_path):
     stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "t"))
     got = {tuple(r) for r in drained(wi.tumbling(stream, "event_type", "ts", "value", "1 day"), "tumbling", tmp_path, "update").collect()}
     assert got == {tuple(r) for r in wi.tumbling(table, "event_type", "ts", "value", "1 day").collect()}
+
+
+def test_streaming_fold_equals_the_batch_fold(spark, tmp_path):
+    from lodestream.operators import folds as fo
+    from lodestream.plans.views import commands
+    from lodestream.streaming.state import fold_stream
+
+    table = commands(spark, "/root/testdata/sf0.001")
+    for k in range(3):  # files of consecutive commands
+        table.where(f"idx % 900 div 300 = {k} and idx < 900").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    schema = "allowed boolean, mode int"
+    got = {tuple(r) for r in drained(fold_stream(stream, "key", "idx", fo.breaker_step, schema), "fold", tmp_path).collect()}
+    assert got == {tuple(r) for r in fo.ordered_fold(table.where("idx < 900"), "key", "idx", fo.breaker_step, schema).collect()}
