@@ -45,6 +45,8 @@ SAMPLED, HOT, MOST_HOT = 64, 60, 1 << 16
 BLOCK_ROWS = 4000
 #: So many rows of lists are looked at together; of their pairs each is given once.
 LEAST_DONE = 100_000
+#: Lists with the same least node and more rows than this are dealt to several tasks.
+PART_ROWS = 20_000
 #: Up to so many nodes are fetched by a broadcast of their ids (8 bytes each).
 MOST_BROADCAST = 500_000
 SKETCH_BITS = 1024
@@ -246,9 +248,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 def _candidates(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b), a < b, of nodes of different components in the same list whose sizes and sketches allow a link.
-    rows: low, token, x, y (the list, or two blocks of it), node, n, label, sketch. A pair is in many lists; lists with
-    the same least node (low) are dealt to the same task, which gives each pair once."""
-    cols = ("token", "x", "y", "low", "node", "n", "label", "block", "sketch")
+    rows: low, part, token, x, y (the list, or two blocks of it), node, n, label, sketch. A pair is in many lists; lists
+    with the same least node (low) are dealt to the same task, which gives each pair once. Where these have very many
+    rows, they are dealt in parts."""
+    cols = ("token", "x", "y", "low", "part", "node", "n", "label", "block", "sketch")
 
     def bounded(t: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the pairs of rows (i, j), those that pass all filters."""
@@ -306,18 +309,20 @@ def _candidates(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
             yield done(held)
 
     spark = rows.sparkSession
-    dealt = rows.select(*cols).repartition(partitions(spark), "low").sortWithinPartitions("low", "token", "x", "y", "n", "node")
+    dealt = rows.select(*cols).repartition(partitions(spark), "low", "part").sortWithinPartitions("low", "part", "token", "x", "y", "n", "node")
     return dealt.mapInArrow(turn, "a long, b long").distinct()
 
 
 def _spanning(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows for ``_candidates``: lists that hold several components, with each node's label and sketch."""
     rows = shared.select("token", "block", "blocks", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = rows.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("node").alias("low")).where("l0 <> l1").select("token", "low")
+    several = rows.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("node").alias("low"), F.count(F.lit(1)).alias("size")).where("l0 <> l1")
+    of_low = F.sum("size").over(W.partitionBy("low"))
+    several = several.select("token", "low", F.pmod(F.xxhash64("token"), F.floor(of_low / PART_ROWS) + 1).alias("part"))
     rows = rows.join(several, "token").join(sets.select("node", "sketch"), "node")
     # Each row goes to its block paired with every block of the list, once for the pair.
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
-    return rows.withColumn("p", F.explode(pairs)).select("token", "p.x", "p.y", "low", "node", "n", "label", "block", "sketch")
+    return rows.withColumn("p", F.explode(pairs)).select("token", "p.x", "p.y", "low", "part", "node", "n", "label", "block", "sketch")
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
