@@ -25,11 +25,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm.common import read, ship, text_of
-from lodestream.llm.words import ALNUM, Words, words
+from lodestream.llm.words import ALNUM, Words, filled, words
 
 REPEATS, SAMPLES, SEED, TOLERANCE = 16, 3, 20240229, 0.2
 EARLY = 6
@@ -242,18 +243,22 @@ def matches(index: Index, texts: pa.Array, tolerance: float = TOLERANCE) -> list
     return out
 
 
-def contaminated(docs: DataFrame, items: DataFrame, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document and item that it holds: doc_id, item_id, start, end (code points), distance, similarity."""
-    spark = docs.sparkSession
-    ship(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+def blocks_of(items: DataFrame) -> Iterator[Broadcast]:
+    """Indexes of all items, in blocks of bounded size, broadcast one after the other."""
     rows = items.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(chars // BLOCK_CHARS) + 1
-    found = None
     for k in range(blocks):
         block = sorted(map(tuple, rows.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == k).collect()), key=lambda r: (r[1], r[0] or 0))
-        table = spark.sparkContext.broadcast(build(block))
+        yield items.sparkSession.sparkContext.broadcast(build(block))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document and item that it holds: doc_id, item_id, start, end (code points), distance, similarity."""
+    ship(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    found = None
+    for table in blocks_of(items):
 
         def turn(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
             index = table.value
@@ -269,16 +274,30 @@ def contaminated(docs: DataFrame, items: DataFrame, tolerance: float = TOLERANCE
     return found
 
 
+def uncontaminated(docs: DataFrame, items: DataFrame, tolerance: float = TOLERANCE, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text holds no item. Each row is decided where it is; nothing is shuffled."""
+    ship(docs.sparkSession)
+    at, schema = docs.columns.index(text_col), docs.schema
+    for table in blocks_of(items):
+
+        def turn(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                clean[[h[0] for h in matches(table.value, filled(b.column(at)), tolerance)]] = False
+                yield b.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(turn, schema)
+    return docs
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark items in all documents."""
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark item. Documents without an id are compared too, by their text."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    bad = contaminated(keyed, read(spark, sf_dir, "benchmark"), id_col="_row").select(F.col("doc_id").alias("_row")).distinct()
-    return keyed.join(bad, "_row", "left_anti").select(*docs.columns)
+    """The documents that hold no benchmark item, with an id or without."""
+    return uncontaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {"op4_decontamination": op4_decontamination}

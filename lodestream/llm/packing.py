@@ -255,10 +255,10 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return numbered.select(*[c for c in numbered.columns if c != "_number"], "_number").mapInArrow(place, schema)
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenise and pack all documents: a row per piece with its place, and its ids if asked for. The pieces are
-    written once, so texts are tokenised once and the numbering rests on a stable table."""
-    return pack(written(pieces(docs, id_col, text_col, capacity, with_ids=with_ids), "pieces"), capacity)
+def packed(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None) -> DataFrame:
+    """Tokenise (with the vocabulary of a rank file) and pack all documents: a row per piece with its place, and its ids
+    if asked for. The pieces are written once, so texts are tokenised once and the numbering rests on a stable table."""
+    return pack(written(pieces(docs, id_col, text_col, capacity, ranks=ranks, with_ids=with_ids), "pieces"), capacity)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
