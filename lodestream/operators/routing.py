@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lodestream.operators.ordering import numbered
+
 VIRTUAL = 150
 
 
@@ -103,16 +105,17 @@ def rebalance_plan(owned: DataFrame, sizes: DataFrame, tolerance: float = 0.2) -
         return df.select(name, (end - F.col("amount")).alias(f"{prefix}_from"), end.alias(f"{prefix}_to"))
 
     sources, targets = line(give, "source", "s"), line(take, "target", "t")
-    numbered = owned.withColumn("_n", F.row_number().over(W.partitionBy("owner").orderBy("key")) - 1)
-    placed = numbered.join(F.broadcast(sources), F.col("owner") == F.col("source")).where(F.col("_n") < F.col("s_to") - F.col("s_from")).withColumn("_at", F.col("s_from") + F.col("_n"))
+    rows = numbered(owned, ["owner"], ["key"], "_n")
+    placed = rows.join(F.broadcast(sources), F.col("owner") == F.col("source")).where(F.col("_n") < F.col("s_to") - F.col("s_from")).withColumn("_at", F.col("s_from") + F.col("_n"))
     return placed.join(F.broadcast(targets), (F.col("_at") >= F.col("t_from")) & (F.col("_at") < F.col("t_to"))).select("key", "source", "target")
 
 
 def split_point(owned: DataFrame, owner: str) -> DataFrame:
     """The key in the middle of a node's sorted keys, and how many keys lie at or after it: they would move."""
     mine = owned.where(F.col("owner") == owner).select("key")
-    ordered = mine.withColumns({"place": F.row_number().over(W.orderBy("key")), "n": F.count(F.lit(1)).over(W.partitionBy())})
-    return ordered.where(F.col("place") == F.floor(F.col("n") / 2) + 1).select(F.col("key").alias("split_at"), (F.col("n") - F.col("place") + 1).alias("moving"))
+    n = F.broadcast(mine.agg(F.count(F.lit(1)).alias("n")))  # one row
+    ordered = numbered(mine.withColumn("_all", F.lit(0)), ["_all"], ["key"]).crossJoin(n)
+    return ordered.where(F.col("number") == F.floor(F.col("n") / 2)).select(F.col("key").alias("split_at"), (F.col("n") - F.col("number")).alias("moving"))
 
 
 def merge_shards(target: DataFrame, source: DataFrame) -> DataFrame:

@@ -142,6 +142,14 @@ def test_user_service(spark):
     assert api.delete("bob")[0] == 200 and api.relationships("alice")[1].count() == 0 and api.delete("bob")[0] == 200
 
 
+def test_places_in_an_order(spark):
+    from lodestream.operators.ordering import numbered
+
+    rows = [("hot", i * 7919 % 1000) for i in range(1000)] + [("few", 3), ("few", 1)]
+    got = {(r.g, r.v): r.number for r in numbered(spark.createDataFrame(rows, "g string, v long"), ["g"], ["v"]).collect()}
+    assert got == {("hot", i): i for i in range(1000)} | {("few", 1): 0, ("few", 3): 1}
+
+
 def test_nearest_rank(spark):
     for n in (1, 2, 10, 100):
         df = spark.range(n).select(F.lit("k").alias("k"), F.col("id").alias("v"))
