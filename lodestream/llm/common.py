@@ -1,5 +1,6 @@
 """What the operators share: the shared folder, tables written to cut lineage, and code shipped to executors."""
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,10 @@ from pyspark.sql import functions as F
 
 from lodestream.shipping import ship_package
 
+#: Temporary folders of local sessions that name no shared one.
+_OWN: dict[str, str] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -18,11 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="lodestream-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lodestream-")
+    return _OWN[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
