@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import fresh_path, read
+from lodestream.llm.common import fresh_path, partitions, read
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -58,6 +58,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     response and the others revisit it; smaller payloads are all responses."""
     spark = pages.sparkSession
     out = Archive(fresh_path(spark, "payloads"), fresh_path(spark, "headers"))
+    files = max(1, partitions(spark) // 4)  # few large files
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     records = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumns(
         {"digest": F.sha2("payload", 256), "sha1": base32(F.sha1("payload")), "bytes": F.octet_length("payload").cast("long")}
@@ -67,10 +68,10 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         F.first("payload").alias("payload"), F.max("id").alias("owner"), F.min("sha1").alias("sha1"), F.max("sha1").alias("sha1_too"), F.min("bytes").alias("bytes"), F.max("bytes").alias("bytes_too"),
     )
     same = (F.col("sha1") == F.col("sha1_too")) & (F.col("bytes") == F.col("bytes_too"))
-    store.withColumn("bytes", F.when(same, F.col("bytes")).otherwise(F.raise_error(F.concat(F.lit("different payloads share the digest "), F.col("digest"))).cast("long"))).select("digest", "payload", "owner", "bytes").write.parquet(out.payloads)
+    store.withColumn("bytes", F.when(same, F.col("bytes")).otherwise(F.raise_error(F.concat(F.lit("different payloads share the digest "), F.col("digest"))).cast("long"))).select("digest", "payload", "owner", "bytes").coalesce(files).write.parquet(out.payloads)
     owners = spark.read.parquet(out.payloads).select("digest", "owner")
     kind = F.when((F.col("bytes") < least_bytes) | F.col("id").eqNullSafe(F.col("owner")), "response").otherwise("revisit")
-    records.drop("payload").join(owners, "digest").select("id", "digest", F.encode(_header(kind), "UTF-8").alias("header")).write.parquet(out.headers)
+    records.drop("payload").join(owners, "digest").select("id", "digest", F.encode(_header(kind), "UTF-8").alias("header")).coalesce(files).write.parquet(out.headers)
     return out
 
 
