@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 
 #: White space as str.split sees it; plain \s is ASCII only in both engines.
 SPACE = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]+"
-NOT_ALNUM = r"[^\p{L}\p{N}]"
+#: Everything but letters, digits and that white space.
+DELETED = r"[^\p{L}\p{N}\s\p{Z}\x{85}\x{1c}-\x{1f}]+"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased words of ``text`` with everything but letters and digits deleted inside a word; no empty words."""
-    words = F.split(F.lower(text), SPACE)
-    return F.filter(F.transform(words, lambda w: F.regexp_replace(w, NOT_ALNUM, "")), lambda w: w != "")
+    """Lower-cased words of ``text`` with everything but letters and digits deleted inside a word; no empty words.
+    What is to go is deleted from the whole text before it is split, in one pass instead of one per word."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), DELETED, ""), SPACE), lambda w: w != "")
 
 
 def strip(text: Column) -> Column:
