@@ -225,8 +225,8 @@ def matches(index: Index, texts: pa.Array, tolerance: float = TOLERANCE) -> list
         most, slack, done = int(tolerance * len(index.texts[item])), n // 3 + 3, lo_word - 1
         for b in sorted(begins):
             lo, hi = max(lo_word, b - slack), min(hi_word, b + n + slack)
-            if hi <= done or (lo < done and b + n // 2 + 2 < done):
-                continue  # this region has been compared
+            if hi <= done:
+                continue  # begins ascend, so all of this region has been compared
             if np.isin(index.words[item], numbers[lo:hi]).mean() < 0.3 and n > 4:
                 continue  # too few of its words: over tolerance, each missing word costs at least a character
             done = hi

@@ -119,3 +119,15 @@ def test_blocks_of_items(spark, monkeypatch):
     whole = {(r.doc_id, r.item_id) for r in d.contaminated(docs, items).where("distance = 0").collect()}
     monkeypatch.setattr(d, "BLOCK_CHARS", 3000)
     assert {(r.doc_id, r.item_id) for r in d.contaminated(docs, items).where("distance = 0").collect()} == whole
+
+
+def test_copy_behind_a_stray_candidate(monkeypatch):
+    """The item's opening words stand before its copy: the second start is compared as a whole."""
+    rng = random.Random(5)
+    pool = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(200)]
+    item = pool[:60]
+    for gap in (16, 20, 29):
+        text = " ".join(item[:20] + pool[60 : 60 + gap] + item + pool[100:200])
+        monkeypatch.setattr(d, "candidates", lambda *_, gap=gap: {(0, 0): {0, 20 + gap}})
+        hits = d.matches(d.build([(1, " ".join(item))]), pa.array([text]))
+        assert [(h[0], h[1], h[4]) for h in hits] == [(0, 0, 0)] and text[hits[0][2] : hits[0][3]] == " ".join(item)
