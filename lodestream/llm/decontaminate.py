@@ -8,8 +8,15 @@ constant probability, so edits become substitutions, and equal samples of a few
 Windows begin at every word of every document, and are as long as the item, rounded down to a class of sizes.
 
 Samples are compared as in a trie, one sampled step after the other, so a walk ends as soon as no item can match.
-What matches in all samples is verified exactly: the least edit distance, in characters, of the item against any
+
+A typo kills a word, and enough of them all words, so characters are sampled too: runs of consecutive characters at
+every place of the item. An item's runs are as long as can be while, of all ways to spread edits up to the tolerance
+over its characters, a share of ``RECALL`` leaves one run whole. Edits laid out on purpose at even distances can miss it.
+
+What matches in either way is verified exactly: the least edit distance, in characters, of the item against any
 substring of that region, by bit-parallel dynamic programming. It counts if it is at most ``tolerance`` of the item.
+Before that, the item's pieces of 64 characters are compared with the region, all regions of a batch at once: the sum
+of their least distances is at most the item's, so a region is left out only if it cannot hold the item.
 
 Documents are independent of each other: the job is one map over the documents. Items are the query set; they are
 handed to the executors in blocks of bounded size, one pass each.
@@ -21,6 +28,8 @@ reported; other columns are ignored; empty tables give no rows.
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +46,13 @@ EARLY = 6
 #: Each repetition draws so many words of the item's first third, and its window begins with the one in the fewest items.
 DRAWN = 4
 CLASSES = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128])
-ABSENT, PAD = 0, 1
+ABSENT, PAD, BLANK = 0, 1, 32
 PAD_HASH = np.uint64(0x0123456789ABCDEF)
+#: Share of the ways to spread edits at the full tolerance over an item that leave a sampled run of characters whole.
+RECALL, MOST_RUN = 0.99, 16
+#: Characters hashed at a time (so that they stay in the cache), and width of a piece in bits.
+CHUNK, PIECE = 1 << 15, 64
+CHARACTER = np.uint64(0x9E3779B97F4A7C15)
 #: Items are broadcast in blocks of about so many characters.
 BLOCK_CHARS = 8_000_000
 
@@ -62,6 +76,32 @@ class Level:
     ends: list[list[tuple[int, int]]]  # by last state: items and the offset of their window
 
 
+@dataclass
+class Runs:
+    """Items' runs of one length: their sorted hashes, which hashes are worth a search, and (item, place) by hash."""
+
+    length: int
+    maybe: np.ndarray
+    hashes: np.ndarray
+    first: np.ndarray  # by hash, one more
+    item: np.ndarray
+    place: np.ndarray
+
+
+@dataclass
+class Spelling:
+    """Items as characters: numbers of code points (0 for those of no item), runs by length, and pieces with the bits
+    at which each character stands."""
+
+    number: np.ndarray
+    most: np.ndarray  # by item: edits within the tolerance
+    chars: np.ndarray  # by item
+    runs: list[Runs]
+    first: np.ndarray  # by item, one more: pieces
+    width: np.ndarray  # by piece
+    bits: np.ndarray  # piece, number of the character
+
+
 @dataclass
 class Index:
     vocabulary: np.ndarray
@@ -71,6 +111,12 @@ class Index:
     texts: list[str]
     sizes: list[int]
     words: list[np.ndarray]
+    spellings: dict[float, Spelling]
+
+    def spelling(self, tolerance: float) -> Spelling:
+        if tolerance not in self.spellings:
+            self.spellings[tolerance] = spelling(self.texts, tolerance)
+        return self.spellings[tolerance]
 
     @property
     def size(self) -> int:
@@ -123,7 +169,7 @@ def build(rows: list[tuple], repeats: int = REPEATS, samples: int = SAMPLES, see
     texts = [" ".join(bytes(w.data[a:b]).decode() for a, b in zip(w.starts[i:j], w.ends[i:j], strict=True)) for i, j in zip(w.first[:-1], w.first[1:], strict=True)]
     sizes = np.diff(w.first).tolist()
     numbers = np.searchsorted(vocabulary, w.hashes) + 2
-    index = Index(vocabulary, maybe, [], [r[0] for r in rows], texts, sizes, [np.unique(numbers[i:j]) for i, j in zip(w.first[:-1], w.first[1:], strict=True)])
+    index = Index(vocabulary, maybe, [], [r[0] for r in rows], texts, sizes, [np.unique(numbers[i:j]) for i, j in zip(w.first[:-1], w.first[1:], strict=True)], {})
     in_items = np.bincount(np.concatenate([np.zeros(0, np.int64), *index.words]), minlength=index.size)
     rng = np.random.default_rng(seed)
     for _ in range(repeats):
@@ -181,6 +227,160 @@ def candidates(index: Index, w: Words) -> dict[tuple[int, int], set[int]]:
     return found
 
 
+@lru_cache(maxsize=10_000)
+def run_length(chars: int, edits: int, recall: float = RECALL) -> int:
+    """The longest run that stays whole in a share ``recall`` of all ways to place the edits on the characters."""
+    length = 1
+    while length < min(MOST_RUN, chars):
+        q = length + 1
+        none = sum((-1) ** i * comb(edits + 1, i) * comb(chars - i * q, edits) for i in range(edits + 2) if chars - i * q >= edits)
+        if none > (1 - recall) * comb(chars, edits):
+            break
+        length = q
+    return length
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def spelling(texts: list[str], tolerance: float) -> Spelling:
+    """The items' characters for one tolerance."""
+    codes = [_codes(t) for t in texts]
+    known = np.unique(np.concatenate([np.zeros(0, np.uint32), *codes]))
+    number = np.zeros(0x110000, np.uint32)
+    number[known] = np.arange(1, len(known) + 1)
+    chars = np.array([len(c) for c in codes], np.int64)
+    most = np.array([int(tolerance * n) for n in chars], np.int64)
+    by_length: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for item, c in enumerate(codes):
+        if len(c):
+            q = run_length(len(c), min(int(most[item]), len(c)))
+            places = np.arange(len(c) - q + 1)
+            h = np.zeros(len(places), np.uint64)
+            for k in range(q):
+                h = h * CHARACTER + number[c[k : k + len(places)]]
+            by_length.setdefault(q, []).append((h, np.full(len(places), item), places))
+    runs = []
+    for q, found in sorted(by_length.items()):
+        h, item, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(h, kind="stable")
+        hashes, first = np.unique(h[order], return_index=True)
+        maybe = np.zeros(1 << 20, bool)
+        maybe[(hashes >> np.uint64(44)).astype(np.int64)] = True
+        runs.append(Runs(q, maybe, hashes, np.append(first, len(h)), item[order], place[order]))
+    pieces = -(-chars // PIECE)
+    first = np.concatenate(([0], np.cumsum(pieces)))
+    width, bits = np.zeros(first[-1], np.int64), np.zeros((first[-1], len(known) + 1), np.uint64)
+    for item, c in enumerate(codes):
+        for k in range(int(pieces[item])):
+            part = number[c[k * PIECE : (k + 1) * PIECE]]
+            width[first[item] + k] = len(part)
+            np.bitwise_or.at(bits[first[item] + k], part, np.uint64(1) << np.arange(len(part), dtype=np.uint64))
+    return Spelling(number, most, chars, runs, first, width, bits)
+
+
+def spelled(w: Words, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the characters of all words, each with one blank behind it, and where each word begins (n + 1). The
+    blank behind a text's last word is 0, which no item has."""
+    lengths = w.ends - w.starts
+    begin = np.cumsum(lengths) - lengths
+    word = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(word))
+    out = np.full(len(word) + len(lengths), BLANK, np.uint8)
+    out[place + word] = w.data[place + np.repeat(w.starts - begin, lengths)]
+    starts = np.concatenate((begin, [len(word)])) + np.arange(len(lengths) + 1)
+    chars = np.concatenate(([0], np.cumsum((out & 0xC0) != 0x80)))
+    codes = number[_codes(out.tobytes().decode())]
+    starts = chars[starts]
+    codes[starts[w.first[1:][np.diff(w.first) > 0]] - 1] = 0
+    return codes, starts
+
+
+def run_hits(sp: Spelling, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, place of the run, where the item would begin) for every run of an item in the characters."""
+    items, places, begins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    last = max((r.length for r in sp.runs), default=0)
+    for cut in range(0, len(codes), CHUNK):
+        part = codes[cut : cut + CHUNK + last - 1].astype(np.uint64)
+        h = np.zeros(min(CHUNK, len(codes) - cut), np.uint64)
+        at = 0
+        for r in sp.runs:
+            for k in range(at, r.length):
+                h = h[: max(len(part) - k, 0)]
+                h *= CHARACTER
+                h += part[k : k + len(h)]
+            at = r.length
+            hit = np.flatnonzero(r.maybe[h >> np.uint64(44)])
+            key = np.minimum(np.searchsorted(r.hashes, h[hit]), len(r.hashes) - 1)
+            same = r.hashes[key] == h[hit]
+            hit, key = hit[same], key[same]
+            many = r.first[key + 1] - r.first[key]
+            posting = np.repeat(r.first[key] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            items.append(r.item[posting])
+            places.append(cut + np.repeat(hit, many))
+            begins.append(places[-1] - r.place[posting])
+    return np.concatenate(items), np.concatenate(places), np.concatenate(begins)
+
+
+def merged(item: np.ndarray, text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Regions of the same item and text that overlap, as one."""
+    order = np.lexsort((lo, item, text))
+    item, text, lo, hi = item[order], text[order], lo[order], hi[order]
+    if not len(item):
+        return item, text, lo, hi
+    group = np.cumsum(np.concatenate(([0], (np.diff(item) != 0) | (np.diff(text) != 0)))) * (int(hi.max()) + 1)
+    reach = np.maximum.accumulate(hi + group)
+    new = np.flatnonzero(np.concatenate(([True], lo[1:] + group[1:] > reach[:-1])))
+    return item[new], text[new], lo[new], (reach - group)[np.append(new[1:], len(item)) - 1]
+
+
+def windows(sp: Spelling, item: np.ndarray, text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Long regions in windows that overlap so far that what is within the tolerance lies inside of one."""
+    overlap = sp.chars[item] + sp.most[item]
+    stride = 3 * overlap
+    many = np.maximum(-(-(hi - lo - overlap) // stride), 1)
+    which = np.repeat(np.arange(len(item)), many)
+    lo = lo[which] + (np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)) * stride[which]
+    return item[which], text[which], lo, np.minimum(hi[which], lo + (stride + overlap)[which])
+
+
+def least(sp: Spelling, codes: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A lower bound of each item's distance to any substring of its window: the sum of its pieces' least distances.
+    Myers' algorithm on all pieces of all windows at once."""
+    out = np.zeros(len(item), np.int64)
+    pieces = sp.first[item + 1] - sp.first[item]
+    lane = np.repeat(np.arange(len(item)), pieces)
+    piece = np.repeat(sp.first[item] - np.cumsum(pieces) + pieces, pieces) + np.arange(len(lane))
+    order = np.argsort(lo[lane] - hi[lane], kind="stable")  # the longest first, so that those at their end fall off
+    lane, piece = lane[order], piece[order]
+    flat, letters, one = sp.bits.ravel(), sp.bits.shape[1], np.uint64(1)
+    for cut in range(0, len(lane), 1 << 13):
+        own, p = lane[cut : cut + (1 << 13)], piece[cut : cut + (1 << 13)]
+        at, length, row = lo[own], hi[own] - lo[own], p * letters
+        top = (sp.width[p] - 1).astype(np.uint64)
+        plus, minus, score = np.full(len(own), ~np.uint64(0)), np.zeros(len(own), np.uint64), sp.width[p].copy()
+        best = score.copy()
+        n = np.searchsorted(-length, -np.arange(int(length[0]) if len(own) else 0), "left")  # lanes longer than each step
+        for j, m in enumerate(n.tolist()):
+            if m < len(plus):
+                plus, minus, score, top, at, row = plus[:m], minus[:m], score[:m], top[:m], at[:m], row[:m]
+            eq = flat[row + codes[at + j]]
+            x = eq | minus
+            d = (((eq & plus) + plus) ^ plus) | eq
+            up = minus | ~(d | plus)
+            down = plus & d
+            score += ((up >> top) & one).astype(np.int64)
+            score -= ((down >> top) & one).astype(np.int64)
+            up <<= one
+            down <<= one
+            plus = down | ~(x | up)
+            minus = up & x
+            np.minimum(best[:m], score, out=best[:m])
+        np.add.at(out, own, best)
+    return out
+
+
 def closest(pattern: str, text: str) -> tuple[int, int, int]:
     """Least edit distance of the pattern to a substring of the text, and where that begins and ends."""
     distance, end = _scan(pattern, text, free=True)
@@ -216,30 +416,36 @@ def _scan(pattern: str, text: str, free: bool) -> tuple[int, int]:
 
 def matches(index: Index, texts: pa.Array, tolerance: float = TOLERANCE) -> list[tuple]:
     """(text, item, start, end, distance) of items found in the texts; places are code points."""
-    w = lowered(texts)
-    numbers = index.numbers(w.hashes)
+    w, sp = lowered(texts), index.spelling(tolerance)
+    codes, starts = spelled(w, sp.number)
+    item, place, begin = run_hits(sp, codes)
+    text = w.text_of_word[np.searchsorted(starts, place, "right") - 1]
+    regions = [(item, text, begin - sp.most[item], begin + sp.chars[item] + sp.most[item])]
+    for (t, i), begins in candidates(index, w).items():
+        b, n = np.array(sorted(begins)), index.sizes[i]
+        slack, ends = n // 3 + 3, w.first[t : t + 2]
+        regions.append((np.full(len(b), i), np.full(len(b), t), starts[(b - slack).clip(*ends)], starts[(b + n + slack).clip(*ends)]))
+    item, text, lo, hi = (np.concatenate(x) for x in zip(*regions, strict=True))
+    lo, hi = np.maximum(lo, starts[w.first[text]]), np.minimum(hi, starts[w.first[text + 1]])
+    some = lo < hi
+    item, text, lo, hi = windows(sp, *merged(item[some], text[some], lo[some], hi[some]))
+    bound = least(sp, codes, item, lo, hi)
+    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for k in np.flatnonzero(bound <= sp.most[item]).tolist():
+        key = (int(text[k]), int(item[k]))
+        if key in found and bound[k] >= found[key][0]:
+            continue  # no better than what is found
+        first, last = int(np.searchsorted(starts, lo[k], "right")) - 1, int(np.searchsorted(starts, hi[k], "left"))
+        region = " ".join(bytes(w.data[x:y]).decode() for x, y in zip(w.starts[first:last], w.ends[first:last], strict=True))
+        distance, x, y = closest(index.texts[item[k]], region)
+        if distance <= sp.most[item[k]] and (key not in found or distance < found[key][0]):
+            end = first + region.count(" ", 0, max(y - 1, 0))
+            found[key] = (distance, first + region.count(" ", 0, x + (x < len(region) and region[x] == " ")), min(end, last - 1))
     out = []
-    for (text, item), begins in sorted(candidates(index, w).items()):
-        n, best = index.sizes[item], None
-        lo_word, hi_word = int(w.first[text]), int(w.first[text + 1])
-        most, slack, done = int(tolerance * len(index.texts[item])), n // 3 + 3, lo_word - 1
-        for b in sorted(begins):
-            lo, hi = max(lo_word, b - slack), min(hi_word, b + n + slack)
-            if hi <= done:
-                continue  # begins ascend, so all of this region has been compared
-            if np.isin(index.words[item], numbers[lo:hi]).mean() < 0.3 and n > 4:
-                continue  # too few of its words: over tolerance, each missing word costs at least a character
-            done = hi
-            parts = [bytes(w.data[x:y]).decode() for x, y in zip(w.starts[lo:hi], w.ends[lo:hi], strict=True)]
-            region = " ".join(parts)
-            distance, x, y = closest(index.texts[item], region)
-            if distance <= most and (best is None or distance < best[0]):
-                first, last = lo + region.count(" ", 0, x + (x < len(region) and region[x] == " ")), lo + region.count(" ", 0, max(y - 1, 0))
-                best = (distance, first, min(last, hi - 1))
-        if best:
-            base = int(w.text_starts[text])
-            start, end = (len(bytes(w.data[base:z]).decode()) for z in (w.starts[best[1]], w.ends[best[2]]))
-            out.append((text, item, start, end, best[0]))
+    for (t, i), (distance, first, last) in sorted(found.items()):
+        base = int(w.text_starts[t])
+        start, end = (len(bytes(w.data[base:z]).decode()) for z in (w.starts[first], w.ends[last]))
+        out.append((t, i, start, end, distance))
     return out
 
 

@@ -131,3 +131,43 @@ def test_copy_behind_a_stray_candidate(monkeypatch):
         monkeypatch.setattr(d, "candidates", lambda *_, gap=gap: {(0, 0): {0, 20 + gap}})
         hits = d.matches(d.build([(1, " ".join(item))]), pa.array([text]))
         assert [(h[0], h[1], h[4]) for h in hits] == [(0, 0, 0)] and text[hits[0][2] : hits[0][3]] == " ".join(item)
+
+
+def mistyped(rng, text, edits):
+    """The text with edits at different characters: others in their place, gone, or one more behind them."""
+    out = list(text)
+    for i in rng.sample(range(len(out)), edits):
+        roll, letter = rng.random(), rng.choice("abcdefghijklmnopqrstuvwxyz")
+        out[i] = letter if roll < 0.6 else "" if roll < 0.8 else out[i] + letter
+    return "".join(out)
+
+
+@pytest.mark.parametrize("share", [0.05, 0.12, 0.2])
+def test_recall_of_typos(spark, share):
+    """Against the exact distance: typos in characters, up to the whole tolerance."""
+    rng = random.Random(7)
+    items = [(r.item_id, r.text) for r in read(spark, SF, "benchmark").collect()]
+    base = [r.text for r in read(spark, SF, "documents").where("length(text) > 1000").orderBy("doc_id").limit(20).collect()]
+    index, rows, truth = d.build(items), [], []
+    for k in range(200):
+        item = k % len(items)
+        change = mistyped(rng, index.texts[item], int(share * len(index.texts[item])))
+        if distance(index.texts[item], " ".join(words(change))) <= int(d.TOLERANCE * len(index.texts[item])):
+            truth.append((len(rows), item))
+        rows.append(f"{base[k % 20][:500]} {change} {base[k % 20][500:1000]}")
+    found = {(m[0], m[1]) for m in d.matches(index, pa.array(rows))}
+    assert len(truth) > 150 and np.mean([t in found for t in truth]) >= 0.97
+
+
+def test_bound_of_pieces():
+    """No more than the exact distance, in windows of any place."""
+    rng = random.Random(9)
+    items = ["".join(rng.choices("abc ", k=n)).strip() or "a" for n in (1, 5, 63, 64, 65, 150)]
+    sp, text = d.spelling(items, 0.2), "".join(rng.choices("abcd", k=900))
+    codes = sp.number[d._codes(text)]
+    rows = [(i, lo, min(lo + rng.randrange(1, 400), 900)) for i in range(len(items)) for lo in rng.sample(range(900), 20)]
+    item, lo, hi = (np.array(x) for x in zip(*rows, strict=True))
+    bound = d.least(sp, codes, item, lo, hi)
+    exact = np.array([d.closest(items[i], text[a:b])[0] for i, a, b in rows])
+    one = np.array([len(items[i]) <= 64 for i in item])
+    assert (bound <= exact).all() and (bound == exact)[one].all()
