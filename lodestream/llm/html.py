@@ -43,6 +43,8 @@ DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar side-bar rail menu nav navbar navigation topnav breadcrumb breadcrumbs footer masthead comment comments disqus respond replies reply discussion feedback responses reactions guestbook related recommended recirculation share sharing social widget widgets pagination pager toolbar search login hidden skip announcement toast paywall disclaimer copyright legal".split()
 )
 HEADER_WORDS = frozenset("header site-header page-header main-header top-header topbar top-bar logo tagline".split())
+#: Parts that make a word tell of a state of the page and not of what the element is (no-sidebar, comments-open).
+STATE_WORDS = frozenset("no not non without has have with is open closed enabled disabled show shows hide hides".split())
 MAIN_WORDS = frozenset("article articlebody article-body post-content post-body entry-content story story-body main-content content main post entry text body-text".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S)
@@ -52,10 +54,10 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:
 class Node:
     """An element. parts: strings and nodes in order."""
 
-    __slots__ = ("kind", "parts", "role", "size", "tag", "text_hash", "words")
+    __slots__ = ("kind", "parts", "role", "size", "spine", "tag", "text_hash", "words")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.parts, self.words, self.role = tag, [], frozenset(), ""
+        self.tag, self.parts, self.words, self.role, self.spine = tag, [], frozenset(), "", tag in ("html", "body")
         self.kind = tag
         if attributes and ("=" in attributes or "hidden" in attributes):
             found: set[str] = set()
@@ -150,11 +152,41 @@ def parse(html: str) -> Node:
         if len(stack) < MOST_DEPTH:
             stack.append(node)
     root.finish()
+    mark_spine(root)
     return root
 
 
+#: An element with so much of the page's text is no boilerplate by its name, if no other element is named the article.
+MOST_OF_PAGE = 0.8
+
+
+def mark_spine(root: Node) -> None:
+    """Mark the elements around the largest article or main part, or around nearly all of the page's text: what they
+    are called says nothing of the text inside."""
+    best: tuple[int, list[Node]] = (0, [])
+    todo: list[tuple[Node, list[Node]]] = [(root, [])]
+    while todo:
+        x, above = todo.pop()
+        if x.tag in DROPPED and x.tag != "form":
+            continue
+        if x.tag in ("article", "main") and not boilerplate(x, False):
+            if x.size > best[0]:
+                best = (x.size, above)
+            continue
+        todo += [(y, [*above, x]) for y in x.children() if y.size > best[0]]
+    for x in best[1]:
+        x.spine = True
+    at = root if not best[1] and _named(root) is None else None
+    while at is not None:
+        at = next((y for y in at.children() if y.size >= MOST_OF_PAGE * root.size and (y.tag not in DROPPED or y.tag == "form")), None)
+        if at is not None and any(y.tag not in INLINE for y in at.children()):
+            at.spine = True
+
+
 def boilerplate(node: Node, inside_article: bool) -> bool:
     """Does the element say that it is no content?"""
+    if node.spine:
+        return False
     if node.tag in DROPPED or node.role in DROPPED_ROLES:
         return True
     if node.tag == "header":
@@ -164,8 +196,8 @@ def boilerplate(node: Node, inside_article: bool) -> bool:
     if not inside_article and not HEADER_WORDS.isdisjoint(node.words):
         return True
     for w in node.words:
-        if w in DROPPED_WORDS or not DROPPED_WORDS.isdisjoint(re.split(r"[-_]+", w)):
-            if w in MAIN_WORDS:
+        if w in DROPPED_WORDS or not DROPPED_WORDS.isdisjoint(parts := re.split(r"[-_]+", w)):
+            if w in MAIN_WORDS or (w not in DROPPED_WORDS and not STATE_WORDS.isdisjoint(parts)):
                 continue
             return True
     return False

@@ -79,3 +79,17 @@ def test_edges_and_joined_references(spark, monkeypatch):
     assert h.extract(pages.limit(0)).count() == 0
     monkeypatch.setattr(h, "MOST_BYTES", 0)
     assert sorted((r.page_id or 0, r.text) for r in h.extract(pages).collect()) == want
+
+
+def test_names_around_the_article():
+    """What the elements around the text are called drops nothing of it."""
+    article = "<article><p>One.</p><p>Two.</p></article>"
+    for name in ("no-sidebar", "has-sidebar", "comments-open", "page-with-banner", "search-page"):
+        assert h.main_text(f"<html><body class='{name}'><nav>n</nav>{article}</body></html>", []) == "One.\n\nTwo.", name
+        assert h.main_text(f"<body><div class='{name}'><div class='sidebar'>s</div>{article}</div></body>", []) == "One.\n\nTwo.", name
+    assert h.main_text(f"<body><form id='aspnetForm'><input><nav>n</nav>{article}</form></body>", []) == "One.\n\nTwo."
+    assert h.main_text("<body><form><div><p>One that is long enough.</p><p>Two.</p></div></form></body>", []) == "One that is long enough.\n\nTwo."
+    related = "<div class='related'><article><p>x</p></article></div>"
+    assert h.main_text(f"<body>{article}{related}</body>", []) == "One.\n\nTwo."
+    comments = f"<div class='comments'><div class='content'>{'long ' * 99}</div></div>"
+    assert h.main_text(f"<body><div class='post'><p>One.</p></div>{comments}</body>", []) == "One."
