@@ -5,7 +5,8 @@ hashes of their id under different seeds), and every page's tree is aligned with
 largest matching of nodes of equal kind that keeps their order and their parents. Matched nodes with equal text are
 template; all others are slots. The main text is the slot that holds most of the varying text, found by walking down
 from the body; elements that say what they are (nav, footer, aside, forms, adverts, comments ...) are never content,
-and one that says it is the article or the main part is taken at its word.
+and what says it is the article or the main part is the slot. Blocks of template inside of it are left out as well: those
+that all references with another article (less than half of the text is equal) have.
 
 Siblings are compared as runs of equal kind, so an alignment takes time in the number of runs and not in the square
 of the number of paragraphs. Each page is aligned by itself with a fixed number of references, so a host with a third
@@ -176,7 +177,7 @@ def mark_spine(root: Node) -> None:
         todo += [(y, [*above, x]) for y in x.children() if y.size > best[0]]
     for x in best[1]:
         x.spine = True
-    at = root if not best[1] and _named(root) is None else None
+    at = root if not best[1] and not _named(root) else None
     while at is not None:
         at = next((y for y in at.children() if y.size >= MOST_OF_PAGE * root.size and (y.tag not in DROPPED or y.tag == "form")), None)
         if at is not None and any(y.tag not in INLINE for y in at.children()):
@@ -260,13 +261,11 @@ def find(root: Node, tag: str) -> list[Node]:
     return out
 
 
-def _named(root: Node) -> Node | None:
-    """The element that says that it is the article."""
+def _named(root: Node) -> list[Node]:
+    """The elements that say that they are the article: all outermost parts of it, or one element of another name."""
     for tag in ("article", "main"):
-        if found := find(root, tag):
-            inner = max(found, key=lambda x: x.size)
-            if tag == "main" or inner.size:
-                return inner
+        if found := [x for x in find(root, tag) if tag == "main" or x.size]:
+            return found if tag == "article" else [max(found, key=lambda x: x.size)]
     best, todo = None, [root]
     while todo:
         x = todo.pop()
@@ -276,7 +275,7 @@ def _named(root: Node) -> Node | None:
             best = x
             continue
         todo += reversed(x.children())
-    return best
+    return [best] if best is not None else []
 
 
 def _varying(node: Node, constant: set[int]) -> int:
@@ -339,16 +338,33 @@ def main_text(html: str, references: list[Node]) -> str:
         return ""
     root = parse(html)
     constant: set[int] = set()
+    inside: set[int] | None = None
+    parts = _named(root)
     for other in references:
         if other.text_hash != root.text_hash:
-            match(root, other, constant, set())
-    article = _named(root)
-    if article is not None and (article.tag in ("article", "main") or not references or _varying(article, constant) >= 0.4 * _varying(root, constant)):
-        # Paragraphs of an article stay even if another page has the same one in the same place.
-        return "\n\n".join(blocks(article, set(), article.tag == "article"))
+            match(root, other, same := set(), set())
+            constant |= same
+            # A near copy of the article has its paragraphs, too: only a page of another text tells what is template.
+            if 2 * sum(_equal(x, same) for x in parts) < sum(x.size for x in parts):
+                inside = same if inside is None else inside & same
+    if parts and (parts[0].tag in ("article", "main") or not references or _varying(parts[0], constant) >= 0.4 * _varying(root, constant)):
+        inside = {i for x in parts for i in _repeated(x, inside or set())}
+        return "\n\n".join(text for x in parts for text in blocks(x, inside, x.tag == "article"))
     return "\n\n".join(blocks(_slot(root, constant), constant, False))
 
 
+def _repeated(node: Node, same: set[int]) -> list[int]:
+    """The outermost blocks at and below a node that are template. A word in bold or a link is part of its sentence."""
+    if id(node) in same and node.tag not in INLINE:
+        return [id(node)]
+    return [i for x in node.children() for i in _repeated(x, same)]
+
+
+def _equal(node: Node, same: set[int]) -> int:
+    """Characters at and below a node that have the same text in another page."""
+    return node.size if id(node) in same else sum(_equal(x, same) for x in node.children())
+
+
 def host_of(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 

@@ -93,3 +93,18 @@ def test_names_around_the_article():
     assert h.main_text(f"<body>{article}{related}</body>", []) == "One.\n\nTwo."
     comments = f"<div class='comments'><div class='content'>{'long ' * 99}</div></div>"
     assert h.main_text(f"<body><div class='post'><p>One.</p></div>{comments}</body>", []) == "One."
+
+
+def test_template_inside_the_article():
+    """A box of all pages goes, a near copy's paragraphs stay, and all parts of a story are kept."""
+
+    def story(*paragraphs):
+        return "<body><article>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "<div class='x'><p>Get our letter.</p></div></article></body>"
+
+    one, two, copy = story("The first story is told here.", "It goes on."), story("Quite another tale stands there.", "And ends."), story("The first story is told here.", "It goes off.")
+    want = "The first story is told here.\n\nIt goes on."
+    assert h.main_text(one, [h.parse(two)]) == h.main_text(one, [h.parse(two), h.parse(copy)]) == want
+    assert h.main_text(one, [h.parse(copy)]) == want + "\n\nGet our letter."
+    assert h.main_text("<body><article><p>Part one.</p></article><article><p>The second part.</p></article></body>", []) == "Part one.\n\nThe second part."
+    bold = [f"<body><article><p>{x} <b>bold</b> {y}.</p></article></body>" for x, y in (("A first", "word"), ("Some other", "tale"))]
+    assert h.main_text(bold[0], [h.parse(bold[1])]) == "A first bold word."
