@@ -12,8 +12,10 @@ share does not make them candidates.
    pair shares at most k - 1 go, and at least one list still holds both.
 3. Fetch the sets of the remaining nodes once, and do the same under the other orders (other hashes of the tokens); a
    node stays only if it passes under every order.
-4. Stars: in every list, compare the smallest and the largest node with all others and merge what is linked. Groups
-   of near copies collapse here without a look at all their pairs.
+4. Stars, in ``ROUNDS`` rounds. A round ranks components and nodes by a hash of its own. Every node is compared with ONE
+   partner: the least node of another component that is the least of one of its lists under every order at once. What is
+   linked is merged. A round has at most as many pairs as nodes, and groups of near copies collapse here without a look
+   at their pairs.
 5. In every list that still spans components, pairs of different components are candidates if sizes and a parity
    sketch (a lower bound of the symmetric difference) allow the similarity. The candidates of all orders are
    intersected and verified on the sets.
@@ -34,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from lodestream.llm.common import kept, partitions, read, ship, text_of, written
 from lodestream.llm.components import components
-from lodestream.llm.words import MULTIPLIER, mix, words
+from lodestream.llm.words import MULTIPLIER, filled, mix, words
 
-WORDS, PERCENT, ORDERS = 5, 80, 2
+WORDS, PERCENT, ORDERS, ROUNDS = 5, 80, 2, 2
 #: One in SAMPLED documents is looked at for very frequent tokens; those seen in HOT of them or more are split.
 SAMPLED, HOT, MOST_HOT = 64, 60, 1 << 16
 BLOCK_ROWS = 4000
@@ -140,16 +143,16 @@ def _nodes(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
     return [ids, pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
 
 
-def _fresh(sets: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
-    """(node, set) of the different sets that can be linked with another."""
-    return list({node_of(s): s for s in sets if len(s) > 3}.items())
+def _fresh(sets: list[np.ndarray], percent: int) -> list[tuple[int, np.ndarray]]:
+    """(node, set) of the different sets that can be linked with another: at best with one of the same and one more token."""
+    return list({node_of(s): s for s in sets if len(s) and 100 * len(s) >= percent * (len(s) + 1)}.items())
 
 
 def hot_tokens(texts: DataFrame, orders: int, percent: int) -> Hot:
     """Tokens that very many prefixes hold, judged by a sample of the documents. This decides only how lists are dealt."""
 
     def counted(_: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
-        parts = [prefix(s, order, percent) for _, s in _fresh(sets) for order in range(orders)]
+        parts = [prefix(s, order, percent) for _, s in _fresh(sets, percent) for order in range(orders)]
         tokens, counts = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
         return [pa.array(tokens.view(np.int64)), pa.array(counts)]
 
@@ -187,15 +190,33 @@ def _shared(postings: DataFrame, percent: int) -> DataFrame:
     return ranked.where((F.col("held") >= needed(F.col("n"), percent)) & (F.col("rank") >= needed(F.col("n"), percent))).select("token", "block", "blocks", "node", "n")
 
 
-def _stars(shared: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of every node with the least and the greatest of its block, and of these with the list's least."""
+def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Postings with the component (label) of their node; before any is known, each node is its own."""
+    rows = shared.select("token", "block", "blocks", "node", "n")
+    return rows.withColumn("label", F.col("node")) if labels is None else rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _partners(shared: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
+    """(node, partners): for each node the nodes of other components that are the first of its lists, in the order of
+    the seed: by component, then by node."""
     block = W.partitionBy("token", "block")
-    shared = shared.withColumns({"low": F.min("node").over(block), "high": F.max("node").over(block)}).where("low <> high or blocks > 1")
-    own = shared.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*")
-    split = shared.where("blocks > 1")
-    least = split.groupBy("token").agg(F.min("low").alias("a"))
-    across = split.select("token", F.col("low").alias("b")).distinct().join(least, "token").select("a", "b")
-    return own.union(across).where("a <> b").distinct()
+    ranked = _labelled(shared, labels).withColumn("me", F.struct(F.xxhash64("label", F.lit(seed)).alias("r"), "label", F.xxhash64("node", F.lit(seed)).alias("s"), "node"))
+    rows = ranked.repartition(partitions(shared.sparkSession), "token", "block").withColumn("low", F.min("me").over(block))
+    split = rows.where("blocks > 1").select("token", "block", "low").distinct()  # a row per block of the few lists that are split
+    first = split.select("token", "block").join(split.groupBy("token").agg(F.min("low").alias("least")), "token")
+    rows = rows.join(first, ["token", "block"], "left").withColumn("low", F.coalesce("least", "low"))
+    return rows.where("low.label <> label").groupBy("node").agg(F.collect_set("low.node").alias("partners"))
+
+
+def _stars(shared: list[DataFrame], labels: DataFrame | None, seed: int) -> DataFrame:
+    """At most one pair (a, b), a < b, for every node: with the least of its partners under all orders."""
+    found = None
+    for k, x in enumerate(shared):
+        here = _partners(x, labels, seed).withColumnRenamed("partners", f"p{k}")
+        found = here if found is None else found.join(here, "node").withColumn("p0", F.array_intersect("p0", f"p{k}")).drop(f"p{k}")
+    ranked = F.array_sort(F.transform("p0", lambda x: F.struct(F.xxhash64(x, F.lit(seed)).alias("s"), x.alias("node"))))
+    pairs = found.select("node", F.get(ranked, F.lit(0)).getField("node").alias("partner")).where("partner is not null")
+    return pairs.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
 
 
 def _allowed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -315,7 +336,7 @@ def _candidates(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def _spanning(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows for ``_candidates``: lists that hold several components, with each node's label and sketch."""
-    rows = shared.select("token", "block", "blocks", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = _labelled(shared, labels)
     several = rows.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("node").alias("low"), F.count(F.lit(1)).alias("size")).where("l0 <> l1")
     of_low = F.sum("size").over(W.partitionBy("low"))
     several = several.select("token", "low", F.pmod(F.xxhash64("token"), F.floor(of_low / PART_ROWS) + 1).alias("part"))
@@ -325,8 +346,25 @@ def _spanning(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFram
     return rows.withColumn("p", F.explode(pairs)).select("token", "p.x", "p.y", "low", "part", "node", "n", "label", "block", "sketch")
 
 
-def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to, itself included)."""
+SETS = "node long, n long, sketch binary, tokens binary"
+
+
+def _set_rows(sets: list[np.ndarray]) -> list[pa.Array]:
+    """node, n, sketch and tokens of the sets that are not empty."""
+    some = [s for s in sets if len(s)]
+    return [pa.array([node_of(s) for s in some], pa.int64()), pa.array([len(s) for s in some], pa.int64()), pa.array([sketch(s) for s in some], pa.binary()), pa.array([s.tobytes() for s in some], pa.binary())]
+
+
+def _numbered_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, n, sketch and tokens from (text, node)."""
+    for b in batches:
+        sets = [s for v, s in zip(b.column(1).to_pylist(), shingle_sets(b.column(0)), strict=True) if len(s) and node_of(s) == v]
+        yield pa.RecordBatch.from_arrays(_set_rows(sets), ["node", "n", "sketch", "tokens"])
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, orders: int) -> tuple[DataFrame, DataFrame]:
+    """A row (doc_id, node, n_shingles) per document, and a row (node, label, component) per node: its class and the
+    smallest doc_id of that."""
     spark = docs.sparkSession
     ship(spark)
     texts = _texts(docs, id_col, text_col)
@@ -334,23 +372,22 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     table = spark.sparkContext.broadcast(hot_tokens(texts, orders, percent))
 
-    first = _mapped(texts, POSTING, lambda _, sets: _postings(_fresh(sets), table.value, 0, percent))
+    first = _mapped(texts, POSTING, lambda _, sets: _postings(_fresh(sets, percent), table.value, 0, percent))
     shared = [kept(_shared(first, percent))]
 
-    # Only these nodes matter from here on; one document of each brings its set.
-    wanted = shared[0].select("node").distinct().join(nodes, "node").where("least is not null").select("node", F.col("least").alias("doc_id"))
+    # Only these nodes matter from here on; one document of each brings its set. Those without an id come by their texts.
+    wanted = shared[0].select("node").distinct().join(nodes, "node").select("node", F.col("least").alias("doc_id"))
     wanted = written(wanted, "wanted", small=True)
     few = wanted.count() <= MOST_BROADCAST
     some = texts.where("doc_id is not null").join(F.broadcast(wanted) if few else wanted, "doc_id").select("text", "node")
-
-    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept = [(v, s) for v, s in zip(b.column(1).to_pylist(), shingle_sets(b.column(0)), strict=True) if len(s) and node_of(s) == v]
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in kept], pa.int64()), pa.array([len(s) for _, s in kept], pa.int64()), pa.array([sketch(s) for _, s in kept], pa.binary()), pa.array([s.tobytes() for _, s in kept], pa.binary())], ["node", "n", "sketch", "tokens"])
-
-    sets = some.mapInArrow(with_sets, "node long, n long, sketch binary, tokens binary")
-    if base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("doc_id is not null and rows > 1").limit(1).count():
-        sets = sets.dropDuplicates(["node"])  # the same id stands on several rows
+    sets = some.mapInArrow(_numbered_sets, SETS)
+    repeated = base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("doc_id is not null and rows > 1").limit(1).count()
+    if wanted.where("doc_id is null").limit(1).count():
+        nameless = _mapped(texts.where("doc_id is null"), SETS, lambda _, sets: _set_rows(sets))
+        sets = sets.union(nameless.join(wanted.where("doc_id is null").select("node"), "node", "left_semi"))
+        repeated = 1
+    if repeated:
+        sets = sets.dropDuplicates(["node"])  # the same id or none stands on several rows
     sets = kept(sets)
 
     def posted(order: int):
@@ -366,8 +403,11 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for other in shared[1:]:
         shared[0] = shared[0].join(other.select("node").distinct(), "node", "left_semi")
 
-    links = written(verified(plausible(_stars(shared[0]), sets, percent), sets, percent), "stars", small=True)
-    labels = components(links)
+    links = labels = None
+    for seed in range(ROUNDS):
+        here = written(verified(plausible(_stars(shared, labels, seed), sets, percent), sets, percent), "stars", small=True)
+        links = here if links is None else links.union(here)
+        labels = components(links)
     found = None
     for x in shared:
         here = _candidates(_spanning(x, labels, sets), percent)
@@ -376,8 +416,14 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = components(links.union(more))
 
     leasts = labels.join(nodes, "node").groupBy("label").agg(F.min("least").alias("component"))
-    named = labels.join(leasts, "label").select("node", "component")
-    per_node = nodes.join(named, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
+    named = labels.join(leasts, "label")
+    per_node = nodes.join(named, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("component")).alias("component"))
+    return base, per_node
+
+
+def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to, itself included)."""
+    base, per_node = _classes(docs, id_col, text_col, percent, orders)
     return base.join(per_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -387,11 +433,32 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each similarity class: the one with the smallest doc_id, once. Documents without an id stay."""
-    classes = similarity_classes(docs)
-    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    once = docs.withColumn("_text", F.xxhash64("text")).join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "_text"])
-    return once.select(*docs.columns).union(docs.where("doc_id is null"))
+    """One document of each similarity class: the one with the smallest doc_id, once; of a class without any id, one. Each
+    text without words is a class of its own. Rows of the same id are told apart by their texts."""
+    base, per_node = _classes(docs, "doc_id", "text", PERCENT, ORDERS)
+    classes = base.join(per_node, "node", "left")
+    chosen = classes.where("doc_id = coalesce(component, doc_id)").select(F.col("doc_id").alias("_kept")).distinct()
+    counts = classes.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    nameless = docs.where("doc_id is null")
+    if not counts.limit(1).count() and not nameless.limit(1).count():
+        return docs.join(chosen, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    # Rows that their id does not tell apart: their sets are made again, and one row of each class is taken.
+    names = [f.name for f in docs.schema.fields]
+    odd = docs.join(counts.select(F.col("doc_id").alias("_id")), F.col("doc_id").cast("long") == F.col("_id"), "left_semi").union(nameless)
+    plain = docs.join(chosen, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").join(counts.select(F.col("doc_id").alias("_id")), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    at = names.index("text")
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([node_of(s) if len(s) else None for s in shingle_sets(filled(b.column(at)))], pa.int64())], [*names, "_node"])
+
+    told = odd.mapInArrow(numbered, T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())]))
+    told = told.join(per_node.select(F.col("node").alias("_node"), F.col("label").alias("_label"), F.col("component").alias("_component")), "_node", "left")
+    kept_rows = told.where("_component is null or _component = cast(doc_id as bigint)")
+    worded = kept_rows.where("_label is not null").withColumn("_text", F.xxhash64("text"))
+    one = worded.groupBy("_label").agg(F.min(F.struct("_node", "_text")).alias("_first"))
+    once = worded.join(one, "_label").where("_node = _first._node and _text = _first._text").dropDuplicates(["_label"])
+    return plain.union(once.select(*names)).union(kept_rows.where("_label is null").select(*names))
 
 
 QUERIES = {"op5_jaccard": op5_jaccard}

@@ -87,7 +87,35 @@ def test_edges(spark):
     assert j.similarity_classes(docs.limit(0)).count() == 0
     kept = j.jaccard_stage(spark, docs, "")
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, -1, 3, 5, 7, 8, 9]
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 3, 5, 7, 8, 9]
+
+
+def test_stage_tells_rows_without_own_ids_apart(spark):
+    long = [f"w{k}" for k in range(60)]
+    text, near, other = " ".join(long), " ".join([*long, "end"]), " ".join(reversed(long))
+    rows = [(None, text), (None, near), (None, text), (7, other), (7, "some words"), (3, "some words"), (9, other), (None, None), (None, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in j.jaccard_stage(spark, docs, "").collect()]
+    assert len([t for d, t in got if d is None and t]) == 1
+    assert sorted(x for x in got if x[0] is not None) == [(3, "some words"), (7, ""), (7, other)]
+    assert got.count((None, None)) == 2
+
+
+def test_a_large_group_of_near_copies_that_are_not_linked(spark):
+    """All share three quarters of their words with all others, and a few pairs are linked."""
+    rng = random.Random(9)
+    common = [f"c{k}" for k in range(120)]
+    rows = [(d, " ".join([*common, *(f"x{rng.randrange(10**6)}" for _ in range(36))])) for d in range(300)]
+    rows += [(1000 + d, rows[d][1] + " end") for d in range(0, 300, 50)]
+    got = found(j.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert got == brute(rows) and len({c for _, c in got.values()}) == 300
+
+
+@pytest.mark.parametrize("percent", [50, 90])
+def test_other_thresholds(spark, percent):
+    rows = corpus(4, 120) + [(9001, "a b c d e f"), (9002, "x a b c d e f"), (9003, "b c d e f g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(j.similarity_classes(docs, percent=percent)) == brute(rows, percent)
 
 
 def test_sketches_bound_the_difference():
