@@ -12,13 +12,16 @@ share does not make them candidates.
    pair shares at most k - 1 go, and at least one list still holds both.
 3. Fetch the sets of the remaining nodes once, and do the same under the other orders (other hashes of the tokens); a
    node stays only if it passes under every order.
-4. Stars, in ``ROUNDS`` rounds. A round ranks components and nodes by a hash of its own. Every node is compared with ONE
-   partner: the least node of another component that is the least of one of its lists under every order at once. What is
-   linked is merged. A round has at most as many pairs as nodes, and groups of near copies collapse here without a look
-   at their pairs.
-5. In every list that still spans components, pairs of different components are candidates if sizes and a parity
-   sketch (a lower bound of the symmetric difference) allow the similarity. The candidates of all orders are
-   intersected and verified on the sets.
+4. Stars: every node is compared with ONE partner: the first node, by a hash, of its lists under every order at once.
+   What is linked is merged. There are at most as many pairs as nodes.
+5. Neighbours: in lists that still span components, every node is held against the next ``NEXT`` of each list, in an
+   order of the list's own, and its ``NEAREST`` by a parity sketch (a lower bound of the symmetric difference) are
+   compared. This takes time in the length of the lists, and a group of near copies of which only some are linked
+   becomes one component here, before anything looks at all its pairs.
+6. The rest, exactly: in every list that still spans components, all pairs of different components are candidates if
+   sizes and sketches allow the similarity.
+
+The candidates of 5 and 6 are intersected over all orders and verified on the sets.
 
 Lists of very frequent tokens, found on a sample, are split into blocks, and pairs of blocks meet in tasks of their own;
 the sample decides nothing else.
@@ -42,7 +45,11 @@ from lodestream.llm.common import kept, partitions, read, ship, text_of, written
 from lodestream.llm.components import components
 from lodestream.llm.words import MULTIPLIER, filled, mix, words
 
-WORDS, PERCENT, ORDERS, ROUNDS = 5, 80, 2, 2
+WORDS, PERCENT, ORDERS = 5, 80, 2
+#: Of so many that follow in a list, so many are compared before the exact step. Neither decides what is linked.
+NEXT, NEAREST = 64, 4
+#: Pairs that a task holds before it sorts out those that it need not.
+MOST_HELD = 1 << 20
 #: One in SAMPLED documents is looked at for very frequent tokens; those seen in HOT of them or more are split.
 SAMPLED, HOT, MOST_HOT = 64, 60, 1 << 16
 BLOCK_ROWS = 4000
@@ -190,31 +197,37 @@ def _shared(postings: DataFrame, percent: int) -> DataFrame:
     return ranked.where((F.col("held") >= needed(F.col("n"), percent)) & (F.col("rank") >= needed(F.col("n"), percent))).select("token", "block", "blocks", "node", "n")
 
 
-def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Postings with the component (label) of their node; before any is known, each node is its own."""
-    rows = shared.select("token", "block", "blocks", "node", "n")
-    return rows.withColumn("label", F.col("node")) if labels is None else rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _lists(shared: DataFrame) -> DataFrame:
+    """Postings dealt by their lists, once for all steps that read these."""
+    return kept(shared.select("token", "block", "blocks", "node", "n").repartition(partitions(shared.sparkSession), "token", "block"))
 
 
-def _partners(shared: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
-    """(node, partners): for each node the nodes of other components that are the first of its lists, in the order of
-    the seed: by component, then by node."""
+def _spans(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows of the lists that hold several components, with each node's component (label; before any is known, each node
+    is its own) and the list's first node (low) in the order of a hash: by component, then by node."""
+    rows = lists
+    if labels is None:
+        rows = rows.withColumn("label", F.col("node"))
+    else:
+        few = labels.count() <= MOST_BROADCAST
+        rows = rows.join(F.broadcast(labels) if few else labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     block = W.partitionBy("token", "block")
-    ranked = _labelled(shared, labels).withColumn("me", F.struct(F.xxhash64("label", F.lit(seed)).alias("r"), "label", F.xxhash64("node", F.lit(seed)).alias("s"), "node"))
-    rows = ranked.repartition(partitions(shared.sparkSession), "token", "block").withColumn("low", F.min("me").over(block))
-    split = rows.where("blocks > 1").select("token", "block", "low").distinct()  # a row per block of the few lists that are split
-    first = split.select("token", "block").join(split.groupBy("token").agg(F.min("low").alias("least")), "token")
-    rows = rows.join(first, ["token", "block"], "left").withColumn("low", F.coalesce("least", "low"))
-    return rows.where("low.label <> label").groupBy("node").agg(F.collect_set("low.node").alias("partners"))
+    me = F.struct(F.xxhash64("label").alias("r"), "label", F.xxhash64("node").alias("s"), "node")
+    rows = rows.withColumns({"low": F.min(me).over(block), "high": F.max(me).over(block)})
+    split = rows.where("blocks > 1").select("token", "block", "low", "high").distinct()  # a row per block of the few lists that are split
+    whole = split.select("token", "block").join(split.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")), "token")
+    rows = rows.join(whole, ["token", "block"], "left").withColumns({"low": F.coalesce("least", "low"), "high": F.coalesce("most", "high")})
+    return rows.where("low.label <> high.label").drop("least", "most", "high")
 
 
-def _stars(shared: list[DataFrame], labels: DataFrame | None, seed: int) -> DataFrame:
-    """At most one pair (a, b), a < b, for every node: with the least of its partners under all orders."""
+def _stars(lists: list[DataFrame]) -> DataFrame:
+    """At most one pair (a, b), a < b, for every node: with the first of its partners under all orders. A node's partners
+    are the first nodes of its lists."""
     found = None
-    for k, x in enumerate(shared):
-        here = _partners(x, labels, seed).withColumnRenamed("partners", f"p{k}")
+    for k, x in enumerate(lists):
+        here = _spans(x, None).where("low.node <> node").groupBy("node").agg(F.collect_set("low.node").alias(f"p{k}"))
         found = here if found is None else found.join(here, "node").withColumn("p0", F.array_intersect("p0", f"p{k}")).drop(f"p{k}")
-    ranked = F.array_sort(F.transform("p0", lambda x: F.struct(F.xxhash64(x, F.lit(seed)).alias("s"), x.alias("node"))))
+    ranked = F.array_sort(F.transform("p0", lambda x: F.struct(F.xxhash64(x).alias("s"), x.alias("node"))))
     pairs = found.select("node", F.get(ranked, F.lit(0)).getField("node").alias("partner")).where("partner is not null")
     return pairs.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
 
@@ -267,21 +280,35 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(compare, "a long, b long")
 
 
-def _candidates(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes of different components in the same list whose sizes and sketches allow a link.
-    rows: low, part, token, x, y (the list, or two blocks of it), node, n, label, sketch. A pair is in many lists; lists
-    with the same least node (low) are dealt to the same task, which gives each pair once. Where these have very many
-    rows, they are dealt in parts."""
+def _nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the ``most`` nearest of one of their nodes."""
+    out = np.zeros(len(a), bool)
+    for x in (a, b):
+        order = np.lexsort((apart, x))
+        first = np.flatnonzero(np.r_[True, np.diff(x[order]) != 0]) if len(x) else np.zeros(0, np.int64)
+        rank = np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)]))
+        out[order[rank < most]] = True
+    return out
+
+
+def _candidates(rows: DataFrame, percent: int = PERCENT, near: bool = False) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes of different components in the same list whose sizes and sketches allow a link; if
+    ``near``, only those that stand near each other in a list, and the nearest of each node.
+    rows: low, part, token, x, y (the list, or two blocks of it), node, n, label; and a row without a token but with the
+    sketch for each node of a part. A pair is in many lists; lists with the same first node (low) are dealt to the same
+    task, which gives each pair once. Where these have very many rows, they are dealt in parts."""
     cols = ("token", "x", "y", "low", "part", "node", "n", "label", "block", "sketch")
 
-    def bounded(t: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the pairs of rows (i, j), those that pass all filters."""
+    def bounded(t: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of the pairs of rows (i, j), nodes and sketch difference of those that pass all filters."""
         small, large = np.minimum(t["n"][i], t["n"][j]), np.maximum(t["n"][i], t["n"][j])
-        apart = (t["x"][i] == t["y"][i]) | (t["block"][i] != t["block"][j])  # rows of one block meet in the block's own list
-        ok = (t["label"][i] != t["label"][j]) & (100 * small >= percent * large) & apart
+        own = (t["x"][i] == t["y"][i]) | (t["block"][i] != t["block"][j])  # rows of one block meet in the block's own list
+        ok = (t["label"][i] != t["label"][j]) & (100 * small >= percent * large) & own
         i, j = i[ok], j[ok]
-        ok = np.bitwise_count(t["sketch"][i] ^ t["sketch"][j]).sum(1, dtype=np.int64) <= _allowed(t["n"][i], t["n"][j], percent)
-        return i[ok], j[ok]
+        apart = np.bitwise_count(t["sketch"][i] ^ t["sketch"][j]).sum(1, dtype=np.int64)
+        ok = apart <= _allowed(t["n"][i], t["n"][j], percent)
+        v, u = t["node"][i[ok]], t["node"][j[ok]]
+        return np.stack((np.minimum(v, u), np.maximum(v, u), apart[ok]))
 
     def of_lists(t: dict) -> Iterator[np.ndarray]:
         """Pairs in whole lists."""
@@ -290,38 +317,56 @@ def _candidates(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         sizes = np.diff(np.r_[change, n])
         last = np.repeat(change + sizes, sizes)  # where each row's list ends
         rows = np.arange(n)
-        for gap in range(1, int(min(sizes.max(initial=0), 64))):
+        for gap in range(1, int(min(sizes.max(initial=0), NEXT))):
             i = rows[rows + gap < last]
-            yield np.stack(bounded(t, i, i + gap))
-        for start, size in zip(change[sizes > 64], sizes[sizes > 64], strict=True):
+            yield bounded(t, i, i + gap)
+        if near:
+            return
+        for start, size in zip(change[sizes > NEXT], sizes[sizes > NEXT], strict=True):
             # The gaps that are left. Rows of the most frequent label need no look at each other.
             labels, which, count = np.unique(t["label"][start : start + size], return_inverse=True, return_counts=True)
             most = count.argmax()
             place = np.arange(size)
             for k in np.flatnonzero(which != most):
-                far = place[(np.abs(place - k) >= 64) & ((which == most) | (place > k))]
-                yield np.stack(bounded(t, np.full(len(far), start + k), start + far))
+                far = place[(np.abs(place - k) >= NEXT) & ((which == most) | (place > k))]
+                yield bounded(t, np.full(len(far), start + k), start + far)
+
+    def once(found: list[np.ndarray]) -> np.ndarray:
+        pairs = np.unique(np.concatenate(found, 1), axis=1)
+        return pairs[:, _nearest(*pairs, NEAREST)] if near else pairs
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def done(table: pa.Table) -> pa.RecordBatch:
             table = table.combine_chunks()
-            t = {c: table.column(c).to_numpy() for c in cols[:-1]}
-            t["sketch"] = _words_of(table.column("sketch"))
-            seen = [np.zeros((2, 0), np.int64)]
+            low, part, node = (table.column(c).to_numpy() for c in ("low", "part", "node"))
+            group = np.cumsum(np.r_[False, (low[1:] != low[:-1]) | (part[1:] != part[:-1])])
+            nodes, number = np.unique(node, return_inverse=True)
+            key = group * len(nodes) + number  # a node of a part
+            listed = table.column("token").is_valid().to_numpy()
+            sketches = _words_of(table.column("sketch").filter(pa.array(~listed)))
+            by_key = np.argsort(key[~listed])
+            lists = table.filter(pa.array(listed))
+            t = {c: lists.column(c).to_numpy() for c in cols[:-1]}
+            t["sketch"] = sketches[by_key[np.searchsorted(key[~listed][by_key], key[listed])]]
+            found, many, most = [np.zeros((3, 0), np.int64)], 0, MOST_HELD
             for p in of_lists(t):
-                v = t["node"][p]
-                seen.append(np.stack((v.min(0), v.max(0))) if v.size else np.zeros((2, 0), np.int64))
-            pairs = np.unique(np.concatenate(seen, 1), axis=1)
+                found.append(p)
+                many += p.shape[1]
+                if many > most:
+                    found = [once(found)]
+                    many = found[0].shape[1]
+                    most = max(MOST_HELD, 2 * many)
+            pairs = once(found)
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
         for b in batches:
             held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            token, x, y = (held.column(c).to_numpy() for c in cols[:3])
-            if not len(token):
+            low, part = (held.column(c).to_numpy() for c in ("low", "part"))
+            if not len(low):
                 continue
-            open_ = np.flatnonzero((token != token[-1]) | (x != x[-1]) | (y != y[-1]))
+            open_ = np.flatnonzero((low != low[-1]) | (part != part[-1]))
             cut = int(open_[-1]) + 1 if len(open_) else 0
             if cut > LEAST_DONE:
                 yield done(held.slice(0, cut))
@@ -330,20 +375,22 @@ def _candidates(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
             yield done(held)
 
     spark = rows.sparkSession
-    dealt = rows.select(*cols).repartition(partitions(spark), "low", "part").sortWithinPartitions("low", "part", "token", "x", "y", "n", "node")
+    inside = [F.xxhash64("node", "token")] if near else ["n", "node"]
+    dealt = rows.select(*cols).repartition(partitions(spark), "low", "part").sortWithinPartitions("low", "part", "token", "x", "y", *inside)
     return dealt.mapInArrow(turn, "a long, b long").distinct()
 
 
-def _spanning(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows for ``_candidates``: lists that hold several components, with each node's label and sketch."""
-    rows = _labelled(shared, labels)
-    several = rows.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("node").alias("low"), F.count(F.lit(1)).alias("size")).where("l0 <> l1")
-    of_low = F.sum("size").over(W.partitionBy("low"))
-    several = several.select("token", "low", F.pmod(F.xxhash64("token"), F.floor(of_low / PART_ROWS) + 1).alias("part"))
-    rows = rows.join(several, "token").join(sets.select("node", "sketch"), "node")
+def _spanning(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows for ``_candidates``: lists that hold several components, with each node's label, and the sketches. Lists of the
+    same first node are dealt together, or in parts of about PART_ROWS rows."""
+    rows = _spans(lists, labels).withColumn("low", F.col("low.node"))
+    heavy = rows.groupBy("low").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > PART_ROWS)
+    rows = rows.join(heavy, "low", "left").withColumn("part", F.pmod(F.xxhash64("token"), F.floor(F.coalesce("size", F.lit(0)) / PART_ROWS) + 1))
+    about = rows.select("low", "part", "node").distinct().join(sets.select("node", "sketch"), "node")
     # Each row goes to its block paired with every block of the list, once for the pair.
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
-    return rows.withColumn("p", F.explode(pairs)).select("token", "p.x", "p.y", "low", "part", "node", "n", "label", "block", "sketch")
+    rows = rows.withColumn("p", F.explode(pairs)).select("token", "p.x", "p.y", "low", "part", "node", "n", "label", "block")
+    return rows.unionByName(about, allowMissingColumns=True)
 
 
 SETS = "node long, n long, sketch binary, tokens binary"
@@ -386,6 +433,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, orders:
         nameless = _mapped(texts.where("doc_id is null"), SETS, lambda _, sets: _set_rows(sets))
         sets = sets.union(nameless.join(wanted.where("doc_id is null").select("node"), "node", "left_semi"))
         repeated = 1
+    sets = sets.repartition(partitions(spark), "node")  # as all joins with them need it
     if repeated:
         sets = sets.dropDuplicates(["node"])  # the same id or none stands on several rows
     sets = kept(sets)
@@ -403,17 +451,16 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, orders:
     for other in shared[1:]:
         shared[0] = shared[0].join(other.select("node").distinct(), "node", "left_semi")
 
-    links = labels = None
-    for seed in range(ROUNDS):
-        here = written(verified(plausible(_stars(shared, labels, seed), sets, percent), sets, percent), "stars", small=True)
-        links = here if links is None else links.union(here)
+    lists = [_lists(x) for x in shared]
+    links = written(verified(plausible(_stars(lists), sets, percent), sets, percent), "stars", small=True)
+    for near in (True, False):
         labels = components(links)
-    found = None
-    for x in shared:
-        here = _candidates(_spanning(x, labels, sets), percent)
-        found = here if found is None else found.join(here, ["a", "b"], "left_semi")
-    more = written(verified(found, sets, percent), "links", small=True)
-    labels = components(links.union(more))
+        found = None
+        for x in lists:
+            here = _candidates(_spanning(x, labels, sets), percent, near)
+            found = here if found is None else found.join(here, ["a", "b"], "left_semi")
+        links = links.union(written(verified(found, sets, percent), "links", small=True))
+    labels = components(links)
 
     leasts = labels.join(nodes, "node").groupBy("label").agg(F.min("least").alias("component"))
     named = labels.join(leasts, "label")
