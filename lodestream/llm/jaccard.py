@@ -202,9 +202,10 @@ def _lists(shared: DataFrame) -> DataFrame:
     return kept(shared.select("token", "block", "blocks", "node", "n").repartition(partitions(shared.sparkSession), "token", "block"))
 
 
-def _spans(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _spans(lists: DataFrame, labels: DataFrame | None, split: bool) -> DataFrame:
     """Rows of the lists that hold several components, with each node's component (label; before any is known, each node
-    is its own) and the list's first node (low) in the order of a hash: by component, then by node."""
+    is its own) and the list's first node (low) in the order of a hash: by component, then by node. ``split``: whether any
+    list is in blocks."""
     rows = lists
     if labels is None:
         rows = rows.withColumn("label", F.col("node"))
@@ -214,18 +215,19 @@ def _spans(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     block = W.partitionBy("token", "block")
     me = F.struct(F.xxhash64("label").alias("r"), "label", F.xxhash64("node").alias("s"), "node")
     rows = rows.withColumns({"low": F.min(me).over(block), "high": F.max(me).over(block)})
-    split = rows.where("blocks > 1").select("token", "block", "low", "high").distinct()  # a row per block of the few lists that are split
-    whole = split.select("token", "block").join(split.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")), "token")
-    rows = rows.join(whole, ["token", "block"], "left").withColumns({"low": F.coalesce("least", "low"), "high": F.coalesce("most", "high")})
-    return rows.where("low.label <> high.label").drop("least", "most", "high")
+    if split:
+        blocks = rows.where("blocks > 1").select("token", "block", "low", "high").distinct()  # a row per block
+        whole = blocks.select("token", "block").join(blocks.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")), "token")
+        rows = rows.join(whole, ["token", "block"], "left").withColumns({"low": F.coalesce("least", "low"), "high": F.coalesce("most", "high")}).drop("least", "most")
+    return rows.where("low.label <> high.label").drop("high")
 
 
-def _stars(lists: list[DataFrame]) -> DataFrame:
+def _stars(lists: list[DataFrame], split: bool) -> DataFrame:
     """At most one pair (a, b), a < b, for every node: with the first of its partners under all orders. A node's partners
     are the first nodes of its lists."""
     found = None
     for k, x in enumerate(lists):
-        here = _spans(x, None).where("low.node <> node").groupBy("node").agg(F.collect_set("low.node").alias(f"p{k}"))
+        here = _spans(x, None, split).where("low.node <> node").groupBy("node").agg(F.collect_set("low.node").alias(f"p{k}"))
         found = here if found is None else found.join(here, "node").withColumn("p0", F.array_intersect("p0", f"p{k}")).drop(f"p{k}")
     ranked = F.array_sort(F.transform("p0", lambda x: F.struct(F.xxhash64(x).alias("s"), x.alias("node"))))
     pairs = found.select("node", F.get(ranked, F.lit(0)).getField("node").alias("partner")).where("partner is not null")
@@ -380,10 +382,10 @@ def _candidates(rows: DataFrame, percent: int = PERCENT, near: bool = False) ->
     return dealt.mapInArrow(turn, "a long, b long").distinct()
 
 
-def _spanning(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def _spanning(lists: DataFrame, labels: DataFrame, sets: DataFrame, split: bool) -> DataFrame:
     """Rows for ``_candidates``: lists that hold several components, with each node's label, and the sketches. Lists of the
     same first node are dealt together, or in parts of about PART_ROWS rows."""
-    rows = _spans(lists, labels).withColumn("low", F.col("low.node"))
+    rows = _spans(lists, labels, split).withColumn("low", F.col("low.node"))
     heavy = rows.groupBy("low").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > PART_ROWS)
     rows = rows.join(heavy, "low", "left").withColumn("part", F.pmod(F.xxhash64("token"), F.floor(F.coalesce("size", F.lit(0)) / PART_ROWS) + 1))
     about = rows.select("low", "part", "node").distinct().join(sets.select("node", "sketch"), "node")
@@ -417,10 +419,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, orders:
     texts = _texts(docs, id_col, text_col)
     base = kept(_mapped(texts, "doc_id long, node long, n_shingles long", _nodes))
     nodes = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    table = spark.sparkContext.broadcast(hot_tokens(texts, orders, percent))
+    hot = hot_tokens(texts, orders, percent)
+    table, split = spark.sparkContext.broadcast(hot), bool((hot.blocks > 1).any())
 
     first = _mapped(texts, POSTING, lambda _, sets: _postings(_fresh(sets, percent), table.value, 0, percent))
-    shared = [kept(_shared(first, percent))]
+    shared = [written(_shared(first, percent), "shared")]
 
     # Only these nodes matter from here on; one document of each brings its set. Those without an id come by their texts.
     wanted = shared[0].select("node").distinct().join(nodes, "node").select("node", F.col("least").alias("doc_id"))
@@ -447,17 +450,17 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, orders:
         return turn
 
     for order in range(1, orders):
-        shared.append(kept(_shared(sets.select("node", "tokens").mapInArrow(posted(order), POSTING), percent)))
+        shared.append(written(_shared(sets.select("node", "tokens").mapInArrow(posted(order), POSTING), percent), "shared"))
     for other in shared[1:]:
         shared[0] = shared[0].join(other.select("node").distinct(), "node", "left_semi")
 
     lists = [_lists(x) for x in shared]
-    links = written(verified(plausible(_stars(lists), sets, percent), sets, percent), "stars", small=True)
+    links = written(verified(plausible(_stars(lists, split), sets, percent), sets, percent), "stars", small=True)
     for near in (True, False):
         labels = components(links)
         found = None
         for x in lists:
-            here = _candidates(_spanning(x, labels, sets), percent, near)
+            here = _candidates(_spanning(x, labels, sets, split), percent, near)
             found = here if found is None else found.join(here, ["a", "b"], "left_semi")
         links = links.union(written(verified(found, sets, percent), "links", small=True))
     labels = components(links)
