@@ -16,7 +16,6 @@ def ids_of(texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     return [x.ids + [p.END] for x in tok.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -113,3 +112,10 @@ def test_repeated_rows_are_all_packed(spark):
     docs = spark.createDataFrame([(1, "same text")] * 5 + [(None, "no id")], "doc_id long, text string")
     got = p.packed(docs, capacity=8).collect()
     assert len(got) == 6 and len({(r.sequence_id, r.offset) for r in got}) == 6
+
+
+def test_added_tokens_have_their_own_ids(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "no such thing <|endof", " <|ENDOFTEXT|>"]
+    got = {r.doc_id: r.ids for r in p.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()}
+    assert [got[k] for k in range(len(texts))] == ids_of(texts)
+    assert 50256 in got[0] and 50256 not in got[3]
