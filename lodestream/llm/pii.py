@@ -3,8 +3,9 @@
 Patterns find the plain forms and always stand. The field reads the surroundings of every digit, at sign and spelled
 out address: it scores whole candidate segments of up to ``LONGEST`` pieces for each kind, with features of the span as
 a whole (its digits and their groups, check sums, what it begins and ends with, what touches it from outside), and a
-dynamic program picks boundaries and kinds of all segments of a region together. Segments it finds with enough margin,
-and that do not touch a pattern's span, are added: numbers without a plus, addresses spelled with "at" and "dot".
+dynamic program picks boundaries and kinds of all segments of a region together, over all candidates. Of the segments
+of the best segmentation, those that score at least ``MARGIN`` and do not touch a pattern's span are added: numbers
+without a plus, addresses spelled with "at" and "dot".
 
 The field is fitted here, by gradient ascent of the conditional likelihood on examples drawn from a fixed grammar
 (``examples``): spans of all kinds in varied writing, and what only looks like them (dates, versions, amounts, sums
@@ -17,8 +18,10 @@ both are patterns'; repeated rows are read each; other columns are ignored; an e
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +97,8 @@ def regions(text: str) -> list[tuple[int, int]]:
         if out and m.end() <= out[-1][1] - CONTEXT // 2:
             continue
         lo, hi = max(m.start() - CONTEXT, 0), min(m.end() + CONTEXT, len(text))
-        lo = 0 if lo == 0 else (text.rfind(" ", 0, lo) + 1 if lo - text.rfind(" ", 0, lo) <= CONTEXT else lo)
+        blank = text.rfind(" ", max(lo - CONTEXT, 0), lo)
+        lo = blank + 1 if blank >= 0 or lo < CONTEXT else lo
         cut = text.find(" ", hi, hi + CONTEXT)
         hi = cut if cut >= 0 else hi
         if out and lo <= out[-1][1]:
@@ -315,18 +319,19 @@ def field_spans(text: str, w: np.ndarray, margin: float = MARGIN) -> list[tuple[
             for i, j, a, b in segments(text, part):
                 rows = [table[f] for f in features(text, a, b)]
                 score, kind = max((sum(r[k] for r in rows), k) for k in range(len(KINDS)))
-                if score >= margin:
+                if score > 0:  # what scores less than nothing is in no best segmentation
                     by_end[j].append((i, score, kind, a, b))
             for p in range(1, n + 1):
                 best[p] = best[p - 1]
                 for i, score, kind, a, b in by_end[p]:
                     if best[i] + score > best[p]:
-                        best[p], via[p] = best[i] + score, (i, kind, a, b)
+                        best[p], via[p] = best[i] + score, (i, score, kind, a, b)
             p = n
             while p > 0:
                 if via[p] and best[p] > best[p - 1]:
-                    p, kind, a, b = via[p]
-                    out.append((a, KINDS[kind], b))
+                    p, score, kind, a, b = via[p]
+                    if score >= margin:
+                        out.append((a, KINDS[kind], b))
                 else:
                     p -= 1
     return sorted(set(out))
@@ -337,10 +342,13 @@ def all_spans(text: str, w: np.ndarray) -> tuple[list, list]:
     base = base_spans(text)
     if not TRIGGER.search(text):
         return base, base
-    more = []
-    for s, kind, e in field_spans(text, w):
-        if all(e <= a or s >= b for a, _, b in base) and all(e <= a or s >= b for a, _, b in more):
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+    more, last = [], 0
+    for s, kind, e in field_spans(text, w):  # by start
+        before = bisect_left(starts, e)
+        if s >= last and (not before or reach[before - 1] <= s):
             more.append((s, kind, e))
+            last = e
     return base, sorted(base + more, key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
 
 

@@ -98,3 +98,26 @@ def test_edges(spark):
     out = pii.personal_data_stage(spark, docs.withColumn("n_chars", F.length("text").cast("long")), "").collect()
     text = {r.doc_id: r for r in out}
     assert text[3].text == "é\U0001f600 <email>, <ip>" and text[3].n_chars == len(text[3].text) and text[1].text is None
+
+
+def test_foreign_texts():
+    """Lines that the grammar of the examples does not make."""
+    w = pii.weights()
+    found = lambda t: [(k, t[a:b]) for a, k, b in pii.all_spans(t, w)[1]]
+    assert ("phone", "(415) 555-2671") in found("Please call our front desk, (415) 555-2671, before noon.")
+    assert ("email", "jane.doe (at) example.org") in found("Reach me: jane.doe (at) example.org")
+    for t in ("On 2023-11-05 we sold 12,500 units for $3,400.50.", "See RFC 2822, section 3.4.1.", "Chapter 12 ends on page 304."):
+        assert found(t) == [], t
+
+
+def test_many_numbers_take_linear_time():
+    import time
+
+    w, took = pii.weights(), []
+    for n in (4000, 16_000):
+        text = " ".join(f"10.0.{i % 256}.{i % 199}" for i in range(n))
+        began = time.time()
+        base, spans = pii.all_spans(text, w)
+        took.append(time.time() - began)
+        assert len(base) == n and len(spans) >= n
+    assert took[1] < 8 * took[0] + 1
