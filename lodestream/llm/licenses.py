@@ -1,7 +1,9 @@
 """License scans by canonical digest.
 
-A text is brought into canonical form (case, copyright lines, equivalent spellings, punctuation, white space) and its
-SHA-256 is looked up among the digests of known license texts by a hash join. Each document is looked up as a whole,
+A text is brought into canonical form (case, copyright lines, punctuation, equivalent spellings, white space and line
+breaks) and its SHA-256 is looked up among the digests of known license texts by a hash join. Known are short licenses
+and notices by their texts, and long licenses (Apache, GPL, LGPL, MPL and others) by their digests alone; other tables
+can be given. Each document is looked up as a whole,
 and so is every line of it, since notices such as "Released under the MIT License." stand on lines of their own.
 Lines whose canonical length no known text has are left out before they are hashed; no digest of theirs could match.
 
@@ -53,40 +55,66 @@ KNOWN_TEXTS = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."), ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
 ]
-#: Spellings that count as the same.
+#: Digests (and lengths) of the canonical form of whole licenses, as Debian's common-licenses hold them.
+WHOLE_LICENSES: list[tuple[str, str, int]] = [
+    ("Apache-2.0", "9e4026e00d216f53b9e991919c21cb2e38ef09f9af4f89e01dddf32c9141f41f", 9885),
+    ("Artistic-1.0-Perl", "d204941775ec7bcd689de0a18b9e348b6828c2e6004b77bab8baf847cd70cee5", 5824),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", 6692),
+    ("GFDL-1.2", "737af0c3e21ac391f5e234493ea6103365e5833ad67bb5ad28a44b9b43f3f144", 19582),
+    ("GFDL-1.3", "40049fc930c88afc3527ec5234861781e1d4693b5cddc5310929bc6182799ffd", 22012),
+    ("GPL-1.0", "0d4d6bb171d3425335326f950fa50d55086d8b01637e20e06af1e3f5070a8576", 11762),
+    ("GPL-2.0", "7746ae1455f20704915f25e13072aaec37db9e477f924a0abf7b10d0e2485d8e", 17113),
+    ("GPL-3.0", "7dc350914edcbb4d297cfe01069bb780fd0171b68b891986b2141226c9a6d447", 33396),
+    ("LGPL-2.0", "23e12ed36e9072a47560178018a162b3f752de2dd24b1709a19c2ea8bb45a596", 24127),
+    ("LGPL-2.1", "0ea5e0b8b97c23dd3c5e2e6dcf61b17095dc2913cd88a62342a5723b642d2046", 25211),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", 7104),
+    ("MPL-1.1", "31670241c91330ba91feb5aea53cfc9fa4434ed80dc67b9d5cc0783288541f69", 22470),
+    ("MPL-2.0", "0c0e48da106b389986ac108e2ee0ad1c64670b63f2fbe0703edcbaedb049daa8", 14343),
+]
+#: Spellings that count as the same. Each is a single word without punctuation, so line breaks do not matter.
 EQUIVALENT = [
-    ("licence", "license"), ("sub-license", "sublicense"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"), ("behaviour", "behavior"), ("cancelled", "canceled"), ("catalogue", "catalog"), ("centre", "center"), ("copyright owner", "copyright holder"), ("favour", "favor"), ("fulfil ", "fulfill "), ("initialise", "initialize"), ("judgement", "judgment"), ("labour", "labor"), ("modelled", "modeled"), ("non-commercial", "noncommercial"), ("noninfringement", "non-infringement"), ("organisation", "organization"), ("percent", "per cent"), ("programme", "program"), ("recognise", "recognize"), ("utilisation", "utilization"), ("while", "whilst"), ("wilful", "willful"),
+    ("licence", "license"), ("sublicense", "sub license"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"), ("behaviour", "behavior"), ("cancelled", "canceled"), ("catalogue", "catalog"), ("centre", "center"), ("favour", "favor"), ("fulfill", "fulfil"), ("holder", "owner"), ("initialise", "initialize"), ("judgement", "judgment"), ("labour", "labor"), ("modelled", "modeled"), ("noncommercial", "non commercial"), ("noninfringement", "non infringement"), ("organisation", "organization"), ("percent", "per cent"), ("programme", "program"), ("recognise", "recognize"), ("utilisation", "utilization"), ("while", "whilst"), ("wilful", "willful"),
 ]
-COPYRIGHT_LINE = r"(?m)^[ \t/*#;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: A line that says whose the copyright is: with a sign, a year or a place for one, or "by". A line of a wrapped license
+#: that merely begins with the word is none.
+COPYRIGHT_LINE = r"(?m)^[ \t/*#;-]*(copyright[ \t]*(\(c\)|©)|copyright[ \t]+([0-9]{4}|by[ \t]|[<\[{](year|yyyy))|\(c\)[ \t]*(copyright|[0-9]{4})|©|all rights reserved[.]?[ \t]*$)[^\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
 
 def canonical_lines(text: Column) -> Column:
     """The text in canonical form, line by line: lines still stand apart, with blanks around what is left of them."""
-    text = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+    text = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), NOT_WORD, " ")
     for a, b in EQUIVALENT:
         text = F.replace(text, F.lit(a), F.lit(b))
-    return F.regexp_replace(text, NOT_WORD, " ")
+    return text
 
 
 def canonical(text: str) -> str:
     """The same for one Python string as a whole."""
-    text = re.sub(COPYRIGHT_LINE, "", text.lower())
+    text = re.sub(r"[^\w]+|_", " ", re.sub(COPYRIGHT_LINE, "", text.lower()))
     for a, b in EQUIVALENT:
         text = text.replace(a, b)
-    return " ".join(re.sub(r"[^\w]+|_", " ", text).split())
+    return " ".join(text.split())
 
 
-def known() -> dict[str, tuple[str, int]]:
-    """Digest -> (license, length of the canonical text)."""
-    return {hashlib.sha256(c.encode()).hexdigest(): (name, len(c)) for name, t in KNOWN_TEXTS for c in [canonical(t)]}
+def known(texts: list[tuple[str, str]] | None = None, digests: list[tuple[str, str, int]] | None = None) -> dict[str, tuple[str, int]]:
+    """Digest -> (license, length of the canonical text). Two licenses with one digest are an error."""
+    rows = list(WHOLE_LICENSES if digests is None else digests)
+    for name, t in KNOWN_TEXTS if texts is None else texts:
+        c = canonical(t)
+        rows.append((name, hashlib.sha256(c.encode()).hexdigest(), len(c)))
+    out: dict[str, tuple[str, int]] = {}
+    for name, digest, n in rows:
+        if out.setdefault(digest, (name, n))[0] != name:
+            raise ValueError(f"{name} and {out[digest][0]} have the same canonical text")
+    return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: dict[str, tuple[str, int]] | None = None) -> DataFrame:
     """Per document a row with unit 0, its digest and its license or null; and per line that is a known text a row
-    with the line's number, from 1."""
+    with the line's number, from 1. ``table``: what ``known`` makes of other texts and digests; a few thousand at most."""
     spark = docs.sparkSession
-    table = known()
+    table = known() if table is None else table
     digests = spark.createDataFrame([(d, n) for d, (n, _) in table.items()], "digest string, license string")
     lengths = sorted({n for _, n in table.values()})
     lines = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
@@ -106,13 +134,13 @@ def op10_license_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    text = rf"regexp_replace(lower(coalesce(text, '')), '{COPYRIGHT_LINE}', '', 'g')"
+    text = rf"regexp_replace(regexp_replace(lower(coalesce(text, '')), '{COPYRIGHT_LINE}', '', 'g'), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
     for a, b in EQUIVALENT:
         text = f"replace({text}, '{a}', '{b}')"
     values = ", ".join(f"('{d}', '{n}')" for d, (n, _) in known().items())
     return rf"""
 WITH known(digest, license) AS (VALUES {values}),
-c AS (SELECT doc_id, regexp_replace({text}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS text FROM documents),
+c AS (SELECT doc_id, {text} AS text FROM documents),
 l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM c),
 u AS (SELECT doc_id, 0 AS unit, trim(regexp_replace(text, '[ \n]+', ' ', 'g')) AS body FROM c
       UNION ALL SELECT doc_id, unnest(range(1, len(lines) + 1))::INT AS unit, trim(unnest(lines)) AS body FROM l)
