@@ -6,8 +6,9 @@ hash of their id; everything after that covers all documents.
 
 Sites: the expected number of good (toxic) documents is summed by host and by path (what follows the first slash of
 the source, up to the next) over all documents. Host rates are shrunk towards the global rate and path rates towards
-their host's, with a prior strength found by the method of moments, so that a site with few documents stays near its
-parent. A document's posterior odds are its own odds times the site's odds over the global odds.
+their host's, with a prior strength for each level found by the method of moments, so that a site with few documents
+stays near its parent. A document is left out of its own site's sums. Its posterior odds are its own odds times the
+site's odds over the global odds. Texts are scored once; the scores are written and read again for the sites.
 
 A document is kept if it is more probably good than not and less probably toxic than not.
 
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestream.llm.common import read, ship
+from lodestream.llm.common import kept, read, ship, written
 from lodestream.llm.words import ALNUM, Words, bytes_of, filled, words
 
 SAMPLE, MOST_SITES = 12_000, 50_000
@@ -95,23 +96,27 @@ def _logistic(doc: np.ndarray, ids: np.ndarray, y: np.ndarray, n_features: int,
     return out
 
 
-def fit(doc: np.ndarray, hashes: np.ndarray, bands: np.ndarray, labels: np.ndarray) -> Model:
-    """A model from the distinct (document, word hash) pairs, the shape bands and the labels (nan: unknown)."""
-    n = len(labels)
-    every, which, count = np.unique(hashes, return_inverse=True, return_counts=True)
-    chosen = np.zeros(len(every), bool)
-    for head in range(labels.shape[1]):
-        y = labels[:, head]
-        n1, n0 = (y == 1).sum(), (y == 0).sum()
+def telling_words(rows: DataFrame) -> np.ndarray:
+    """Sorted hashes of the words that tell the classes apart, from rows (hashes, quality, toxic). Words are counted by
+    class on the cluster; what comes to the driver are the chosen ones."""
+    sizes = rows.agg(*[F.count_if(F.col(h) == k).alias(f"{h}{k}") for h in HEADS for k in (0, 1)]).first()
+    counts = [F.count_if(F.col(h) == k).alias(f"{h}{k}") for h in HEADS for k in (0, 1)]
+    words_ = rows.select(F.explode("hashes").alias("word"), *HEADS).groupBy("word").agg(F.count(F.lit(1)).alias("docs"), *counts).where(F.col("docs") >= LEAST_DOCS)
+    chosen = F.lit(False)
+    for h in HEADS:
+        n1, n0 = sizes[f"{h}1"], sizes[f"{h}0"]
         if n1 and n0:
-            c1, c0 = (np.bincount(which[y[doc] == k], minlength=len(every)) for k in (1, 0))
+            c1, c0 = F.col(f"{h}1"), F.col(f"{h}0")
             p1, p0, p = (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1), (c1 + c0 + 0.5) / (n1 + n0 + 1)
-            chosen |= (np.abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)) > LEAST_Z) & (count >= LEAST_DOCS)
-    vocabulary = every[chosen]
-    number = np.cumsum(chosen) - 1 + SHAPE_FEATURES
-    used = chosen[which]
-    doc_all = np.concatenate((np.repeat(np.arange(n), SHAPES), doc[used]))
-    ids_all = np.concatenate((bands.ravel(), number[which[used]]))
+            chosen |= F.abs(p1 - p0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)) > LEAST_Z
+    return np.sort(words_.where(chosen).select("word").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def fit(doc: np.ndarray, word: np.ndarray, bands: np.ndarray, labels: np.ndarray, vocabulary: np.ndarray) -> Model:
+    """A model from the (document, number of the word in the vocabulary) pairs, the shape bands and the labels (nan: unknown)."""
+    n = len(labels)
+    doc_all = np.concatenate((np.repeat(np.arange(n), SHAPES), doc))
+    ids_all = np.concatenate((bands.ravel(), word + SHAPE_FEATURES))
     weights = np.zeros((SHAPE_FEATURES + len(vocabulary) + 1, labels.shape[1]))
     weights[-1] = (20.0, -20.0)  # with no labels everything is kept
     for head in range(labels.shape[1]):
@@ -153,28 +158,45 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             parts = [np.unique(w.hashes[i:j]).view(np.int64) for i, j in zip(w.first[:-1], w.first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(3), pa.array(parts, pa.list_(pa.int64())), pa.array(list(bands.astype(np.int32)), pa.list_(pa.int32())), b.column(1), b.column(2)], ["_id", "hashes", "bands", *HEADS])
 
-    # At most ``sample`` labelled documents; each has as many numbers as distinct words.
-    rows = some.mapInArrow(turn, f"_id {dict(some.dtypes)['_id']}, hashes array<long>, bands array<int>, quality double, toxic double").orderBy("_id", *HEADS).toArrow()
-    if not len(rows):
-        return fit(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, SHAPES), np.int64), np.zeros((0, len(HEADS))))
-    lists = rows.column("hashes").combine_chunks()
-    doc = np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy())
-    bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, SHAPES).astype(np.int64)
-    labels = np.stack([rows.column(h).to_numpy() for h in HEADS], 1)
-    return fit(doc, lists.flatten().to_numpy().view(np.uint64), bands, labels)
-
+    schema = f"_id {dict(some.dtypes)['_id']}, hashes array<long>, bands array<int>, quality double, toxic double"
+    rows = kept(some.mapInArrow(turn, schema))
+    vocabulary = telling_words(rows)
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with _p_quality and _p_toxic of each document by itself; null without any letter or digit."""
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = []
+            for x in b.column(1):
+                h = x.values.to_numpy().view(np.uint64)
+                at = np.minimum(np.searchsorted(vocabulary, h), max(len(vocabulary) - 1, 0))
+                parts.append(at[vocabulary[at] == h] if len(vocabulary) else at[:0])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.list_(pa.int64())), *b.columns[2:]], b.schema.names)
+
+    # At most ``sample`` labelled documents, each with the numbers of the chosen words that it has.
+    found = rows.mapInArrow(numbered, schema).orderBy("_id", *HEADS).toArrow()
+    rows.unpersist()
+    if not len(found):
+        return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, SHAPES), np.int64), np.zeros((0, len(HEADS))), vocabulary)
+    lists = found.column("hashes").combine_chunks()
+    doc = np.repeat(np.arange(len(found)), lists.value_lengths().to_numpy())
+    bands = found.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, SHAPES).astype(np.int64)
+    labels = np.stack([found.column(h).to_numpy() for h in HEADS], 1)
+    return fit(doc, lists.flatten().to_numpy(), bands, labels, vocabulary)
+
+
+def scored(docs: DataFrame, model: Model, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """``columns`` (all) of ``docs`` with _p_quality and _p_toxic of each document by itself; null without any letter or
+    digit."""
     ship(docs.sparkSession)
+    docs = docs.drop("_p_quality", "_p_toxic")
+    columns = docs.columns if columns is None else columns
+    rows = docs.select(*columns, F.col(text_col).alias("_scored"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = probabilities(filled(b.column(b.schema.get_field_index(text_col))), model)
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, h], pa.float64(), from_pandas=True) for h in range(2))], [*b.schema.names, "_p_quality", "_p_toxic"])
+            p = probabilities(filled(b.column(len(columns))), model)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], *(pa.array(p[:, h], pa.float64(), from_pandas=True) for h in range(2))], [*columns, "_p_quality", "_p_toxic"])
 
-    docs = docs.drop("_p_quality", "_p_toxic")
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, *(T.StructField(f"_p_{h}", T.DoubleType()) for h in HEADS)]))
+    return rows.mapInArrow(score, T.StructType([*rows.schema.fields[:-1], *(T.StructField(f"_p_{h}", T.DoubleType()) for h in HEADS)]))
 
 
 def _odds(p: Column) -> Column:
@@ -182,47 +204,79 @@ def _odds(p: Column) -> Column:
     return F.ln(p / (1 - p))
 
 
-def sites(scores: DataFrame) -> DataFrame:
-    """Posterior rates by _host and _path from _p_quality and _p_toxic of all documents: _site_quality, _site_toxic
-    and the global _all_quality, _all_toxic. One row per path; all sums are partial sums first."""
-    by_path = scores.groupBy("_host", "_path").agg(F.count("_p_quality").alias("n"), *[F.sum(f"_p_{h}").alias(f"s_{h}") for h in HEADS]).where("n > 0").persist()
-    by_host = by_path.groupBy("_host").agg(F.sum("n").alias("n_host"), *[F.sum(f"s_{h}").alias(f"host_{h}") for h in HEADS])
+@dataclass
+class Priors:
+    """Global rates, and the strength of the prior by level and head."""
+
+    rates: dict[str, float]
+    host: dict[str, float]
+    path: dict[str, float]
+
+
+MOST_STRENGTH = 1e6
+
+
+def _strength(rate: float, extra: float | None) -> float:
+    """The strength of a Beta prior around a rate whose true values vary by ``extra`` beyond chance."""
+    return MOST_STRENGTH if extra is None else min(max(rate * (1 - rate) / max(extra, 1e-9) - 1, 1.0), MOST_STRENGTH)
+
+
+def sites(scores: DataFrame) -> tuple[DataFrame, Priors | None]:
+    """Sums of _p_quality and _p_toxic by _host and _path: n, s_quality, s_toxic of the path, n_host, host_quality,
+    host_toxic of its host. One row per path; all sums are partial sums first. Strengths by the method of moments: what
+    hosts vary around the global rate, and paths around their host's, more than chance would have it."""
+    by_path = scores.groupBy("_host", "_path").agg(F.count("_p_quality").alias("n"), *[F.sum(f"_p_{h}").alias(f"s_{h}") for h in HEADS]).where("n > 0")
+    by_path = written(by_path, "paths", small=True)
+    by_host = by_path.groupBy("_host").agg(F.sum("n").alias("n_host"), F.count(F.lit(1)).alias("paths"), *[F.sum(f"s_{h}").alias(f"host_{h}") for h in HEADS])
     total = by_path.agg(F.sum("n").alias("n"), *[F.sum(f"s_{h}").alias(h) for h in HEADS]).first()
+    joined = by_path.join(by_host.withColumnRenamed("_host", "_h"), F.col("_host").eqNullSafe(F.col("_h"))).drop("_h")
     if not total.n:
-        return by_path.select("_host", "_path", *[F.lit(0.5).alias(f"{a}_{h}") for h in HEADS for a in ("_site", "_all")])
+        return joined, None
     rates = {h: total[h] / total.n for h in HEADS}
-    # Method of moments: what host rates vary beyond chance, as the strength of a Beta prior.
-    extra = [F.sum(F.col("n_host") * ((F.col(f"host_{h}") / F.col("n_host") - rates[h]) ** 2 - rates[h] * (1 - rates[h]) / F.col("n_host"))).alias(h) for h in HEADS]
-    spread = by_host.agg(*extra).first()
-    strength = {h: min(max(rates[h] * (1 - rates[h]) / max(spread[h] / total.n, 1e-9) - 1, 1.0), 1e6) for h in HEADS}
-    joined = by_path.join(by_host, by_path._host.eqNullSafe(by_host._host)).drop(by_host._host)
-    host = {h: (F.col(f"host_{h}") + strength[h] * rates[h]) / (F.col("n_host") + strength[h]) for h in HEADS}
-    path = [((F.col(f"s_{h}") + strength[h] * host[h]) / (F.col("n") + strength[h])).alias(f"_site_{h}") for h in HEADS]
-    return joined.select("_host", "_path", *path, *[F.lit(rates[h]).alias(f"_all_{h}") for h in HEADS])
-
-
-def assess(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """``docs`` with p_quality, p_toxic (by itself), post_quality, post_toxic (with its site) and keep."""
+    of_hosts = by_host.agg(*[(F.sum(F.col("n_host") * (F.col(f"host_{h}") / F.col("n_host") - rates[h]) ** 2 - rates[h] * (1 - rates[h])) / F.sum("n_host")).alias(h) for h in HEADS]).first()
+    own = {h: F.col(f"host_{h}") / F.col("n_host") for h in HEADS}
+    several = joined.where("paths > 1")
+    of_paths = several.agg(*[(F.sum(F.col("n") * (F.col(f"s_{h}") / F.col("n") - own[h]) ** 2 - own[h] * (1 - own[h])) / F.sum("n")).alias(h) for h in HEADS]).first()
+    return joined, Priors(rates, {h: _strength(rates[h], of_hosts[h]) for h in HEADS}, {h: _strength(rates[h], of_paths[h]) for h in HEADS})
+
+
+def _posterior(head: str, priors: Priors) -> Column:
+    """Of a row with its own probability and its site's sums, in which it is counted."""
+    p, rate, host, path = F.col(f"_p_{head}"), priors.rates[head], priors.host[head], priors.path[head]
+    of_host = (F.greatest(F.col(f"host_{head}") - p, F.lit(0.0)) + host * rate) / (F.col("n_host") - 1 + host)
+    of_path = (F.greatest(F.col(f"s_{head}") - p, F.lit(0.0)) + path * of_host) / (F.col("n") - 1 + path)
+    return 1 / (1 + F.exp(-(_odds(p) + _odds(of_path) - _odds(F.lit(rate)))))
+
+
+def assess(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", columns: list[str] | None = None) -> DataFrame:
+    """``columns`` (all) of ``docs`` with p_quality, p_toxic (by itself), post_quality, post_toxic (with its site) and keep."""
     new = ["p_quality", "p_toxic", "post_quality", "post_toxic", "keep"]
+    own = [c for c in (docs.columns if columns is None else columns) if not c.startswith("_p_")]
     model = train(docs, labels, sample, id_col, text_col)
-    placed = {"_host": F.split_part(F.col(site_col), F.lit("/"), F.lit(1)), "_path": F.split_part(F.col(site_col), F.lit("/"), F.lit(2))}
-    found = sites(scored(docs.select(F.col(text_col), F.col(site_col)), model, text_col).withColumns(placed)).persist()
+    marked = docs.withColumns({"_host": F.split_part(F.col(site_col), F.lit("/"), F.lit(1)), "_path": F.split_part(F.col(site_col), F.lit("/"), F.lit(2))})
+    scores = written(scored(marked, model, text_col, [*[c for c in own if c not in ("_host", "_path")], "_host", "_path"]), "scored")
+    found, priors = sites(scores)
     few = found.limit(MOST_SITES + 1).count() <= MOST_SITES
-    all_docs = scored(docs, model, text_col).withColumns(placed)
-    found = found.withColumnsRenamed({"_host": "_h", "_path": "_q"})
-    joined = all_docs.join(F.broadcast(found) if few else found, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_q")), "left")
-    post = {h: F.coalesce(1 / (1 + F.exp(-(_odds(F.col(f"_p_{h}")) + _odds(F.col(f"_site_{h}")) - _odds(F.col(f"_all_{h}"))))), F.lit(0.0)) for h in HEADS}
-    joined = joined.withColumns({f"_post_{h}": post[h] for h in HEADS})
+    sums = ["n", "n_host", *[f"{a}_{h}" for a in ("s", "host") for h in HEADS]]
+    found = found.select(F.struct(*sums).alias("_site"), F.col("_host").alias("_h"), F.col("_path").alias("_q"))
+    joined = scores.join(F.broadcast(found) if few else found, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_q")), "left")
+    post = {h: F.lit(0.0) for h in HEADS}
+    if priors is not None:
+        # The sums of the site, under names that no column of the input can have.
+        for h in HEADS:
+            post[h] = F.coalesce(_posterior(h, priors), F.lit(0.0))
+    rows = joined.select(F.struct(*[F.col(c) for c in own]).alias("_own"), *[f"_p_{h}" for h in HEADS], "_site.*")
+    rows = rows.withColumns({f"_post_{h}": post[h] for h in HEADS})
     keep = F.col("_p_quality").isNotNull() & (F.col("_post_quality") >= 0.5) & (F.col("_post_toxic") < 0.5)
-    return joined.select(
-        *[c for c in docs.columns if c not in new], *[F.coalesce(f"_p_{h}", F.lit(0.0)).alias(f"p_{h}") for h in HEADS],
+    return rows.select(
+        *[F.col("_own")[c].alias(c) for c in own if c not in new], *[F.coalesce(f"_p_{h}", F.lit(0.0)).alias(f"p_{h}") for h in HEADS],
         *[F.col(f"_post_{h}").alias(f"post_{h}") for h in HEADS], keep.alias("keep"),
     )
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality and toxicity of all documents, and whether each is kept."""
-    return assess(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select("doc_id", "p_quality", "p_toxic", "post_quality", "post_toxic", "keep")
+    return assess(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), columns=["doc_id"]).select("doc_id", "p_quality", "p_toxic", "post_quality", "post_toxic", "keep")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
