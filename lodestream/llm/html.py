@@ -1,16 +1,19 @@
 """Main text of web pages by wrapper induction.
 
 Pages of a host come from the same templates. For each host ``REFERENCES`` pages are fixed (those with the smallest
-hashes of their id under different seeds), and every page's tree is aligned with theirs by simple tree matching: the
-largest matching of nodes of equal kind that keeps their order and their parents. Matched nodes with equal text are
-template; all others are slots. The main text is the slot that holds most of the varying text, found by walking down
-from the body; elements that say what they are (nav, footer, aside, forms, adverts, comments ...) are never content,
-and what says it is the article or the main part is the slot. Blocks of template inside of it are left out as well: those
-that all references with another article (less than half of the text is equal) have.
-
-Siblings are compared as runs of equal kind, so an alignment takes time in the number of runs and not in the square
-of the number of paragraphs. Each page is aligned by itself with a fixed number of references, so a host with a third
-of all pages is no hot key.
+hashes of their id under different seeds), and every page's tree is aligned with theirs by simple tree matching: a
+large matching of nodes of equal kind that keeps their order and their parents. A node with equal text in its match is a
+constant for that reference. A reference tells what is template only if its main text is another (less than half of it
+is equal), and a node is template if at least ``AGREE`` such references have it as a constant (all, if there are fewer):
+what a page shares with a single other one is content. All other nodes are slots. The main text is the slot that holds
+most of the varying text, found by walking down from the body; elements that say what they are (nav, footer, aside,
+forms, adverts, comments ...) are never content, and what says it is the article or the main part is the slot. Blocks of
+template inside of it are left out as well. Inside an article a class counts only if all of it names boilerplate.
+
+Siblings are compared as runs of equal kind. Runs that agree at either end are matched first; what is left is aligned
+by a table of at most ``CELLS`` cells, along its diagonal if it is larger. Trees are walked without recursion. Each page
+is aligned by itself with a fixed number of references, so a host with a third of all pages is no hot key while the
+references are broadcast; beyond that size they are joined by host, a join that adaptive execution splits.
 
 Defined cases: null and empty pages have the empty text; a null url is a host of its own; a page that is cut off
 keeps what it has; equal pages never serve as each other's references; repeated rows are extracted each; other columns
@@ -19,6 +22,7 @@ are ignored; an empty table gives no rows.
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +31,9 @@ from pyspark.sql import functions as F
 
 from lodestream.llm.common import read, ship
 
-REFERENCES = 2
+REFERENCES, AGREE = 5, 2
+#: Cells of an alignment's table.
+CELLS = 40_000
 #: References are broadcast up to so many hosts and so many bytes in all; beyond that they are joined by host.
 MOST_HOSTS, MOST_BYTES = 20_000, 32_000_000
 
@@ -43,6 +49,9 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search al
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar side-bar rail menu nav navbar navigation topnav breadcrumb breadcrumbs footer masthead comment comments disqus respond replies reply discussion feedback responses reactions guestbook related recommended recirculation share sharing social widget widgets pagination pager toolbar search login hidden skip announcement toast paywall disclaimer copyright legal".split()
 )
+#: Words that alone may as well name a subject of the article, and words that say nothing beside another.
+AMBIGUOUS_WORDS = frozenset("alert consent copyright disclaimer discussion feedback legal login rail reactions recommended related replies respond responses search skip social toast".split())
+NEUTRAL_WORDS = frozenset("area bar block box button buttons container content form group inner item items link links list panel post posts section slot thread unit wrap wrapper".split())
 HEADER_WORDS = frozenset("header site-header page-header main-header top-header topbar top-bar logo tagline".split())
 #: Parts that make a word tell of a state of the page and not of what the element is (no-sidebar, comments-open).
 STATE_WORDS = frozenset("no not non without has have with is open closed enabled disabled show shows hide hides".split())
@@ -76,22 +85,27 @@ class Node:
     def children(self) -> list["Node"]:
         return [x for x in self.parts if isinstance(x, Node)]
 
-    def finish(self) -> int:
-        """Hashes of the text below, bottom-up without recursion limits being a concern: trees are cut at MOST_DEPTH."""
-        self.size = 0
-        own = []
-        for x in self.parts:
-            if isinstance(x, Node):
-                own.append(x.finish())
-                self.size += x.size
-            elif x and not x.isspace():
-                own.append(hash(x))
-                self.size += len(x)
-        self.text_hash = hash(tuple(own))
-        return self.text_hash
+
+def in_order(root: Node) -> list[Node]:
+    """All elements, parents before their children."""
+    out = [root]
+    for x in out:
+        out += x.children()
+    return out
 
 
-MOST_DEPTH = 200
+def finish(root: Node) -> None:
+    """Hashes and sizes of the text below every element, bottom-up."""
+    for x in reversed(in_order(root)):
+        x.size, own = 0, []
+        for part in x.parts:
+            if isinstance(part, Node):
+                own.append(part.text_hash)
+                x.size += part.size
+            elif part and not part.isspace():
+                own.append(hash(part))
+                x.size += len(part)
+        x.text_hash = hash(tuple(own))
 
 
 def parse(html: str) -> Node:
@@ -150,9 +164,8 @@ def parse(html: str) -> Node:
                 node.parts.append(html[at : end.start() if end else n])
             at = end.end() if end else n
             continue
-        if len(stack) < MOST_DEPTH:
-            stack.append(node)
-    root.finish()
+        stack.append(node)
+    finish(root)
     mark_spine(root)
     return root
 
@@ -164,26 +177,40 @@ MOST_OF_PAGE = 0.8
 def mark_spine(root: Node) -> None:
     """Mark the elements around the largest article or main part, or around nearly all of the page's text: what they
     are called says nothing of the text inside."""
-    best: tuple[int, list[Node]] = (0, [])
-    todo: list[tuple[Node, list[Node]]] = [(root, [])]
+    size, best, above = 0, None, {}
+    todo = [root]
     while todo:
-        x, above = todo.pop()
+        x = todo.pop()
         if x.tag in DROPPED and x.tag != "form":
             continue
         if x.tag in ("article", "main") and not boilerplate(x, False):
-            if x.size > best[0]:
-                best = (x.size, above)
+            if x.size > size:
+                size, best = x.size, x
             continue
-        todo += [(y, [*above, x]) for y in x.children() if y.size > best[0]]
-    for x in best[1]:
-        x.spine = True
-    at = root if not best[1] and not _named(root) else None
+        for y in x.children():
+            if y.size > size:
+                above[id(y)] = x
+                todo.append(y)
+    up = above.get(id(best)) if best is not None else None
+    around = up is not None
+    while up is not None:
+        up.spine = True
+        up = above.get(id(up))
+    at = root if not around and not _named(root) else None
     while at is not None:
         at = next((y for y in at.children() if y.size >= MOST_OF_PAGE * root.size and (y.tag not in DROPPED or y.tag == "form")), None)
         if at is not None and any(y.tag not in INLINE for y in at.children()):
             at.spine = True
 
 
+def _names_boilerplate(word: str) -> bool:
+    """Whether a class inside an article can mean nothing else: comments, ad-slot and related-links do, related-work does not."""
+    parts = re.split(r"[-_]+", word)
+    if word in DROPPED_WORDS or len(parts) == 1:
+        return word in DROPPED_WORDS and word not in AMBIGUOUS_WORDS
+    return not DROPPED_WORDS.isdisjoint(parts) and all(p in DROPPED_WORDS or p in NEUTRAL_WORDS for p in parts)
+
+
 def boilerplate(node: Node, inside_article: bool) -> bool:
     """Does the element say that it is no content?"""
     if node.spine:
@@ -196,6 +223,8 @@ def boilerplate(node: Node, inside_article: bool) -> bool:
         return False
     if not inside_article and not HEADER_WORDS.isdisjoint(node.words):
         return True
+    if inside_article:
+        return any(_names_boilerplate(w) for w in node.words)
     for w in node.words:
         if w in DROPPED_WORDS or not DROPPED_WORDS.isdisjoint(parts := re.split(r"[-_]+", w)):
             if w in MAIN_WORDS or (w not in DROPPED_WORDS and not STATE_WORDS.isdisjoint(parts)):
@@ -214,37 +243,58 @@ def _runs(nodes: list[Node]) -> list[tuple[str, int, int]]:
     return out
 
 
-def match(a: Node, b: Node, constant: set[int], matched: set[int]) -> int:
-    """Simple tree matching of two elements of equal kind: the number of matched nodes. Marks nodes of ``a`` (by id)
-    that are matched, and those whose match has the same text."""
-    matched.add(id(a))
-    if a.text_hash == b.text_hash:
-        constant.add(id(a))
-    xs, ys = a.children(), b.children()
-    if not xs or not ys:
-        return 1
-    rx, ry = _runs(xs), _runs(ys)
-    # The heaviest alignment of runs that keeps their order; a run weighs as many nodes as can be paired.
-    best = [[0] * (len(ry) + 1) for _ in range(len(rx) + 1)]
-    for i in range(len(rx) - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        kind, n = rx[i][0], rx[i][2] - rx[i][1]
-        for j in range(len(ry) - 1, -1, -1):
-            v = max(below[j], row[j + 1])
-            if kind == ry[j][0]:
-                v = max(v, min(n, ry[j][2] - ry[j][1]) + below[j + 1])
-            row[j] = v
-    total, i, j = 1, 0, 0
-    while i < len(rx) and j < len(ry):
-        if rx[i][0] == ry[j][0] and best[i][j] == min(rx[i][2] - rx[i][1], ry[j][2] - ry[j][1]) + best[i + 1][j + 1]:
-            for x, y in zip(xs[rx[i][1] : rx[i][2]], ys[ry[j][1] : ry[j][2]], strict=False):
-                total += match(x, y, constant, matched)
-            i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
-            i += 1
-        else:
-            j += 1
-    return total
+def _aligned(rx: list[tuple[str, int, int]], ry: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Pairs of runs of equal kind in order: a heaviest alignment, where a run weighs as many nodes as can be paired. A
+    table of more than CELLS cells is worked out along its diagonal only."""
+    n, m = len(rx), len(ry)
+    lo = 0
+    while lo < min(n, m) and rx[lo][0] == ry[lo][0]:
+        lo += 1
+    hi = 0
+    while hi < min(n, m) - lo and rx[n - 1 - hi][0] == ry[m - 1 - hi][0]:
+        hi += 1
+    out = [(i, i) for i in range(lo)]
+    n, m = n - lo - hi, m - lo - hi
+    if n and m:
+        band = m if n * m <= CELLS else max(CELLS // (2 * n), 8)
+        weight = [y[2] - y[1] for y in ry[lo : lo + m]]
+        best: list[dict[int, int]] = [{} for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            row, below, (kind, first, last) = best[i], best[i + 1], rx[lo + i]
+            middle = i * m // n
+            for j in range(min(m, middle + band + 1) - 1, max(0, middle - band) - 1, -1):
+                v = max(below.get(j, 0), row.get(j + 1, 0))
+                if kind == ry[lo + j][0]:
+                    v = max(v, min(last - first, weight[j]) + below.get(j + 1, 0))
+                row[j] = v
+        i = j = 0
+        while i < n and j < m:
+            here, kind, width = best[i].get(j, 0), rx[lo + i][0], rx[lo + i][2] - rx[lo + i][1]
+            if not here and j not in best[i]:
+                # Beside the band: step towards it.
+                i, j = (i + 1, j) if j > i * m // n else (i, j + 1)
+            elif kind == ry[lo + j][0] and here == min(width, weight[j]) + best[i + 1].get(j + 1, 0):
+                out.append((lo + i, lo + j))
+                i, j = i + 1, j + 1
+            elif here == best[i + 1].get(j, 0):
+                i += 1
+            else:
+                j += 1
+    return out + [(lo + n + k, lo + m + k) for k in range(hi)]
+
+
+def match(a: Node, b: Node, constant: set[int]) -> None:
+    """Simple tree matching of two elements of equal kind. Marks nodes of ``a`` (by id) whose match has the same text."""
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        if x.text_hash == y.text_hash:
+            constant.add(id(x))
+        xs, ys = x.children(), y.children()
+        if xs and ys:
+            rx, ry = _runs(xs), _runs(ys)
+            for i, j in _aligned(rx, ry):
+                todo += zip(xs[rx[i][1] : rx[i][2]], ys[ry[j][1] : ry[j][2]], strict=False)
 
 
 def find(root: Node, tag: str) -> list[Node]:
@@ -278,20 +328,22 @@ def _named(root: Node) -> list[Node]:
     return [best] if best is not None else []
 
 
-def _varying(node: Node, constant: set[int]) -> int:
-    """Characters below a node that are neither template nor boilerplate; words of links do not count."""
-    if id(node) in constant or boilerplate(node, False) or node.tag == "a":
-        return 0
-    return sum(_varying(x, constant) if isinstance(x, Node) else len(x.strip()) for x in node.parts)
+def _varying(root: Node, constant: set[int]) -> dict[int, int]:
+    """By node: characters below it that are neither template nor boilerplate; words of links do not count."""
+    out: dict[int, int] = {}
+    for x in reversed(in_order(root)):
+        none = id(x) in constant or x.tag == "a" or boilerplate(x, False)
+        out[id(x)] = 0 if none else sum(out[id(p)] if isinstance(p, Node) else len(p.strip()) for p in x.parts)
+    return out
 
 
-def _slot(root: Node, constant: set[int]) -> Node:
+def _slot(root: Node, varying: dict[int, int]) -> Node:
     """The element that holds most of the varying text, as deep as one child holds nearly all of it."""
     at = root
     while True:
         children = [x for x in at.children() if x.tag not in INLINE]
-        amounts = [_varying(x, constant) for x in children]
-        total = _varying(at, constant)
+        amounts = [varying[id(x)] for x in children]
+        total = varying[id(at)]
         if not amounts or max(amounts) < 0.6 * total or not total:
             return at
         child = children[amounts.index(max(amounts))]
@@ -311,23 +363,26 @@ def blocks(node: Node, constant: set[int], inside: bool) -> list[str]:
                 out.append(text)
             line.clear()
 
-    def walk(x: Node) -> None:
-        for part in x.parts:
-            if not isinstance(part, Node):
-                line.append(part)
-            elif part.tag == "br":
-                line.append(" ")
-            elif boilerplate(part, inside) or id(part) in constant:
-                if part.tag not in INLINE:
-                    flush()
-            elif part.tag in INLINE:
-                walk(part)
-            else:
-                flush()
-                walk(part)
+    todo: list = [node]  # strings, elements to open, and None where an element's block ends
+    opened = False
+    while todo:
+        part = todo.pop()
+        if part is None:
+            flush()
+        elif not isinstance(part, Node):
+            line.append(part)
+        elif opened and part.tag == "br":
+            line.append(" ")
+        elif opened and (boilerplate(part, inside) or id(part) in constant):
+            if part.tag not in INLINE:
                 flush()
-
-    walk(node)
+        elif opened and part.tag in INLINE:
+            todo += reversed(part.parts)
+        else:
+            flush()
+            opened = True
+            todo.append(None)
+            todo += reversed(part.parts)
     flush()
     return out
 
@@ -337,32 +392,48 @@ def main_text(html: str, references: list[Node]) -> str:
     if not html:
         return ""
     root = parse(html)
-    constant: set[int] = set()
-    inside: set[int] | None = None
     parts = _named(root)
+    whole = sum(x.size for x in parts) if parts else root.size
+    votes: Counter[int] = Counter()
+    telling = 0
     for other in references:
         if other.text_hash != root.text_hash:
-            match(root, other, same := set(), set())
-            constant |= same
-            # A near copy of the article has its paragraphs, too: only a page of another text tells what is template.
-            if 2 * sum(_equal(x, same) for x in parts) < sum(x.size for x in parts):
-                inside = same if inside is None else inside & same
-    if parts and (parts[0].tag in ("article", "main") or not references or _varying(parts[0], constant) >= 0.4 * _varying(root, constant)):
-        inside = {i for x in parts for i in _repeated(x, inside or set())}
+            match(root, other, same := set())
+            # A near copy has the article's paragraphs, too: only a page of another text tells what is template. With no
+            # named article the template is part of what is compared, so only nearly equal pages are left out.
+            if sum(_equal(x, same) for x in parts or [root]) < (0.5 if parts else 0.9) * whole:
+                votes.update(same)
+                telling += 1
+    constant = {i for i, n in votes.items() if n >= min(AGREE, telling)}
+    varying = _varying(root, constant)
+    if parts and (parts[0].tag in ("article", "main") or not telling or varying[id(parts[0])] >= 0.4 * varying[id(root)]):
+        inside = {i for x in parts for i in _repeated(x, constant)}
         return "\n\n".join(text for x in parts for text in blocks(x, inside, x.tag == "article"))
-    return "\n\n".join(blocks(_slot(root, constant), constant, False))
+    return "\n\n".join(blocks(_slot(root, varying), constant, False))
 
 
 def _repeated(node: Node, same: set[int]) -> list[int]:
     """The outermost blocks at and below a node that are template. A word in bold or a link is part of its sentence."""
-    if id(node) in same and node.tag not in INLINE:
-        return [id(node)]
-    return [i for x in node.children() for i in _repeated(x, same)]
+    out, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if id(x) in same and x.tag not in INLINE:
+            out.append(id(x))
+        else:
+            todo += x.children()
+    return out
 
 
 def _equal(node: Node, same: set[int]) -> int:
     """Characters at and below a node that have the same text in another page."""
-    return node.size if id(node) in same else sum(_equal(x, same) for x in node.children())
+    out, todo = 0, [node]
+    while todo:
+        x = todo.pop()
+        if id(x) in same:
+            out += x.size
+        else:
+            todo += x.children()
+    return out
 
 
 def host_of(url: str = "url"):

@@ -42,11 +42,64 @@ def test_wrapper_without_any_names():
 
 def test_matching_counts_nodes():
     a, b = h.parse("<div><p>x</p><p>y</p><ul><li>1</ul></div>"), h.parse("<div><p>x</p><ul><li>2<li>3</ul></div>")
-    constant, matched = set(), set()
-    assert h.match(a, b, constant, matched) == 5  # root, div, p, ul, li
+    h.match(a, b, constant := set())
     assert len(constant) == 1  # the first paragraph
 
 
+def test_alignments():
+    """Against the heaviest one by trying all; in a band it is still in order and of equal kinds."""
+    import random
+
+    def heaviest(x, y):
+        if not x or not y:
+            return 0
+        best = max(heaviest(x[1:], y), heaviest(x, y[1:]))
+        return max(best, 1 + heaviest(x[1:], y[1:])) if x[0] == y[0] else best
+
+    rng = random.Random(1)
+    for _ in range(200):
+        x, y = ([rng.choice("abc") for _ in range(rng.randint(0, 8))] for _ in range(2))
+        runs = [[(k, i, i + 1) for i, k in enumerate(z)] for z in (x, y)]
+        pairs = h._aligned(*runs)
+        assert all(x[i] == y[j] for i, j in pairs) and pairs == sorted(set(pairs))
+        assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs) == heaviest(x, y)
+    long = [[(rng.choice("abcdef"), i, i + 1) for i in range(n)] for n in (3000, 2500)]
+    pairs = h._aligned(*long)
+    assert all(long[0][i][0] == long[1][j][0] for i, j in pairs) and all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:])) and len(pairs) > 500
+
+
+def test_long_and_deep_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    page = "".join(f"<h3>t{i}</h3><p>para {i}</p>" for i in range(20_000))
+    other = h.parse("<div>" + "".join(f"<h3>x{i}</h3><p>other {i}</p>" for i in range(15_000)) + "</div>")
+    assert len(h.main_text(f"<div>{page}</div>", [other]).split("\n\n")) == 40_000
+    nested = "<div>" * 20_000 + "<nav>menu</nav><form>field</form><p>Text.</p>" + "</div>" * 20_000
+    assert h.main_text(nested, [h.parse(nested.replace("Text.", "Other words."))]) == "Text."
+    assert time.time() - began < 60
+
+
+def test_references_decide():
+    """What several pages of another text share is template; what a single one shares is content."""
+
+    def of(*blocks):
+        return "<html><body><div class='a'>" + "".join(blocks) + "</div></body></html>"
+
+    one = of("<h2>Sources</h2>", "<p>Five six seven eight and more of that.</p>", "<p>Shared but real sentence.</p>", "<p>menu words</p>")
+    two = of("<h2>Sources</h2>", "<p>One two three four and five.</p>", "<p>Shared but real sentence.</p>", "<p>menu words</p>")
+    three = of("<h2>Links</h2>", "<p>Nine ten eleven twelve thirteen.</p>", "<p>Another sentence is here now.</p>", "<p>menu words</p>")
+    content = "Sources\n\nFive six seven eight and more of that.\n\nShared but real sentence."
+    assert h.main_text(one, [h.parse(two), h.parse(three)]) == content
+    assert h.main_text(one, []) == content + "\n\nmenu words"
+
+
+def test_classes_inside_the_article():
+    inner = '<div class="related-work"><p>kept one</p></div><section class="discussion"><p>kept two</p></section><div class="legal-history">kept three</div>'
+    gone = '<div class="comments">no</div><div class="ad-slot">no</div><div class="related-links">no</div><div class="newsletter-signup">no</div>'
+    assert h.main_text(f"<body><article><p>a b c</p>{inner}{gone}</article></body>", []) == "a b c\n\nkept one\n\nkept two\n\nkept three"
+
+
 def test_broken_pages():
     assert h.main_text("<article><p>text <b>cut off &amp; here", []) == "text cut off & here"
     assert h.main_text("<article><p>text</p><p cla", []) == "text"
