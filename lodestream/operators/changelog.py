@@ -3,6 +3,9 @@
 The latest version of a key is ``max_by`` over a struct, which combines partially on the map side, so a key with a
 third of all changes leaves each task as one row. No sort or window over a key's history is needed."""
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -51,9 +54,8 @@ def compact(log: DataFrame, n: int = 2) -> DataFrame:
 
     A tombstone in the merged segments goes too; they are the oldest, so nothing older can come back."""
     segments = log.select("segment_id").distinct()
-    order = W.orderBy("segment_id")
-    ranked = segments.withColumns({"rank": F.row_number().over(order), "last": F.max("segment_id").over(W.partitionBy())})
-    old = F.broadcast(ranked.where((F.col("rank") <= n) & (F.col("segment_id") < F.col("last"))).select("segment_id").limit(n))
+    last = log.agg(F.max("segment_id").alias("last"))  # one row
+    old = F.broadcast(segments.crossJoin(last).where("segment_id < last").select("segment_id").orderBy("segment_id").limit(n))
     columns = [c for c in log.columns if c != "key"]
     merged = latest(log.join(old, "segment_id", "left_semi"), ["key"], "seq", columns).where("not deleted")
     return log.join(old, "segment_id", "left_anti").unionByName(merged)
@@ -66,9 +68,15 @@ def sparse_index(log: DataFrame, interval: int = 100) -> DataFrame:
 
 
 def floor_entries(index: DataFrame, keys: DataFrame) -> DataFrame:
-    """For each key the last index entry at or before it and the first after it, by segment (null beyond the ends)."""
-    joined = F.broadcast(keys.select(F.col("key").alias("wanted"))).join(index)
-    return joined.groupBy("segment_id", "wanted").agg(F.max(F.when(F.col("key") <= F.col("wanted"), F.col("key"))).alias("floor"), F.min(F.when(F.col("key") > F.col("wanted"), F.col("key"))).alias("ceiling"))
+    """For each key the last index entry at or before it and the first after it, by segment (null beyond the ends). The
+    wanted keys and the entries of a segment are read once in key order; each wanted key is listed once per segment, which
+    is the size of the result."""
+    entries = index.select("segment_id", "key", F.lit(0).alias("asked")).distinct()
+    wanted = index.select("segment_id").distinct().crossJoin(keys.select("key").distinct()).select("segment_id", "key", F.lit(1).alias("asked"))
+    order = W.partitionBy("segment_id").orderBy("key", "asked")
+    entry = F.when(F.col("asked") == 0, F.col("key"))
+    both = entries.unionByName(wanted).withColumns({"floor": F.last(entry, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)), "ceiling": F.first(entry, ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))})
+    return both.where("asked = 1").select("segment_id", F.col("key").alias("wanted"), "floor", "ceiling")
 
 
 def segments_by_size(log: DataFrame, limit: int, partition: str) -> DataFrame:
@@ -99,21 +107,52 @@ def compact_level(log: DataFrame, level_of: Column, level: int, bottom: bool) ->
     return marked.where("not _m").drop("_m").unionByName(merged)
 
 
-def bloom_positions(key: Column, size: int, hashes: int) -> Column:
-    """The bits of a key by double hashing."""
-    h1, h2 = F.pmod(F.xxhash64(key), F.lit(size)), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(size - 1)) + 1
-    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(h1 + i * h2, F.lit(size)))
+#: Bits of one block of a filter: 1024 words of 64.
+BLOCK_BITS = 1 << 16
+
+
+@dataclass(frozen=True)
+class Bloom:
+    """A filter in blocks of BLOCK_BITS bits: a row per block with its words. A key's bits all lie in the block that its
+    hash picks, so a filter of any size is looked up by an equality join and never stands on one machine as a whole."""
+
+    words: DataFrame
+    blocks: int
+    hashes: int
+
+
+def _bits(key: Column, blocks: int, hashes: int) -> tuple[Column, Column]:
+    """A key's block, and its bits in there by double hashing."""
+    h1, h2 = F.pmod(F.xxhash64(key), F.lit(BLOCK_BITS)), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(BLOCK_BITS // 2)) * 2 + 1
+    bits = F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(h1 + i * h2, F.lit(BLOCK_BITS)).cast("int"))
+    return F.pmod(F.xxhash64(key, F.lit(2)), F.lit(blocks)).cast("int"), bits
 
 
-def bloom_filter(keys: DataFrame, size: int = 10_000, hashes: int = 3) -> DataFrame:
-    """The set bits of a filter, one row each: at most ``size`` rows."""
-    return keys.select(F.explode(bloom_positions(F.col("key"), size, hashes)).alias("bit")).distinct()
+def bloom_filter(keys: DataFrame, rate: float = 0.01, count: int | None = None) -> Bloom:
+    """A filter of the column key, sized for ``count`` keys (counted if not given) and a share of false positives."""
+    n = max(count if count is not None else keys.select("key").distinct().count(), 1)
+    bits = math.ceil(-n * math.log(rate) / math.log(2) ** 2)
+    hashes = max(1, round(-math.log2(rate)))
+    blocks = -(-bits // BLOCK_BITS)
+    block, places = _bits(F.col("key"), blocks, hashes)
+    set_ = keys.select(block.alias("block"), F.explode(places).alias("bit"))
+    masks = set_.groupBy("block", F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("mask"))
+    held = masks.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("m"))  # 1024 words at most
+    # One pass over the sorted words of a block makes them an array that a bit's word is found in at once.
+    entries = F.array_sort(F.map_entries("m"))
+    dense = F.aggregate(
+        entries, F.array().cast("array<bigint>"),
+        lambda done, e: F.concat(done, F.array_repeat(F.lit(0).cast("bigint"), e.key - F.size(done)), F.array(e.value)),
+    )
+    return Bloom(held.select("block", dense.alias("words")), blocks, hashes)
 
 
-def might_contain(bits: DataFrame, keys: DataFrame, size: int = 10_000, hashes: int = 3) -> DataFrame:
-    """key, maybe. The bits are one row after aggregation, of ``size`` numbers at most, and so broadcast."""
-    packed = F.broadcast(bits.agg(F.collect_set("bit").alias("bits")))
-    return keys.crossJoin(packed).select("key", (F.size(F.array_except(bloom_positions(F.col("key"), size, hashes), "bits")) == 0).alias("maybe"))
+def might_contain(bloom: Bloom, keys: DataFrame) -> DataFrame:
+    """``keys`` (a column key, and others) with maybe: false only of keys that the filter was not built on."""
+    block, places = _bits(F.col("key"), bloom.blocks, bloom.hashes)
+    asked = keys.withColumns({"block": block, "_bits": places}).join(bloom.words, "block", "left")
+    there = F.forall("_bits", lambda b: F.coalesce(F.get("words", F.shiftright(b, 6)), F.lit(0).cast("bigint")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), b.bitwiseAND(F.lit(63)))) != 0)
+    return asked.withColumn("maybe", F.coalesce(there, F.lit(False))).drop("block", "_bits", "words")
 
 
 def entries_from(log: DataFrame, seq: int) -> DataFrame:
@@ -127,7 +166,7 @@ def gaps(log: DataFrame, partition: str) -> DataFrame:
     return log.withColumn("missing", F.col("seq") - before - 1).where("missing > 0")
 
 
-def apply_entries(log: DataFrame, applied_seq: int) -> DataFrame:
+def apply_entries(log: DataFrame, applied_seq: int | Column) -> DataFrame:
     """State changes of the entries beyond ``applied_seq``; an entry that comes twice counts once."""
     fresh = log.where(F.col("seq") > applied_seq).dropDuplicates(["seq"])
     return latest(fresh, ["key"], "seq", ["value", "seq", "deleted"])

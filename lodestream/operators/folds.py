@@ -3,33 +3,41 @@
 Rows are dealt by key and sorted within their partition; the fold reads the sorted stream and holds nothing but one
 key's state, however long its history. Machines are step functions (state, row) -> (state, result)."""
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestream.shipping import ship_package
 
 
 def ordered_fold(df: DataFrame, key: str, order: str, step: Callable, schema: str) -> DataFrame:
     """(key, order, results of ``step``) of all rows. ``schema``: names and types of the results."""
-    names = [x.split()[0] for x in schema.split(",")]
-    kept = [key, order]
+    kept, columns = [key, order], df.columns
+    at = columns.index(key)
+    types = dict(df.dtypes)
+    result_type = T._parse_datatype_string(", ".join([f"{c} {types[c]}" for c in kept] + [schema]))
+    arrow = to_arrow_schema(result_type)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row_of = namedtuple("row_of", columns)
         held, state = object(), None
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if (k := getattr(row, key)) != held:
-                    held, state = k, None
-                state, result = step(state, row)
-                out.append((k, getattr(row, order), *result))
-            yield pd.DataFrame(out, columns=[*kept, *names])
+            results = []
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if values[at] != held:
+                    held, state = values[at], None
+                state, result = step(state, row_of._make(values))
+                results.append(result)
+            own = list(zip(*results, strict=True)) or [()] * (len(arrow) - 2)
+            arrays = [batch.column(columns.index(c)) for c in kept] + [pa.array(x, f.type) for x, f in zip(own, list(arrow)[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=arrow.names)
 
     ship_package(df.sparkSession)
-    types = dict(df.dtypes)
-    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, ", ".join([f"{c} {types[c]}" for c in kept] + [schema]))
+    return df.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, result_type)
 
 
 def lock_step(state, row):

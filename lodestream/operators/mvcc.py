@@ -55,25 +55,38 @@ def collect_garbage(versions: DataFrame, before_ts: int, safe: bool) -> DataFram
     return versions.join(newest, "key").where(keep).drop("_last", "_old")
 
 
-def open_before(intervals: DataFrame) -> DataFrame:
-    """Each transaction with how many others on its key had begun and not ended when it began: begun minus ended so far."""
+def open_before(intervals: DataFrame, width: int = 86_400_000_000) -> DataFrame:
+    """Each transaction with how many others on its key had begun and not ended when it began: begun minus ended so far.
+    Counted within buckets of ``width``, on top of what the key's earlier buckets leave open (a row per key and bucket)."""
     begins = intervals.select("key", "txn_id", F.col("start_ts").alias("t"), F.lit(1).alias("d"), F.lit(1).alias("begin"))
     ends = intervals.select("key", "txn_id", F.col("commit_ts").alias("t"), F.lit(-1).alias("d"), F.lit(0).alias("begin"))
-    before = F.coalesce(F.sum("d").over(W.partitionBy("key").orderBy("t", "begin", "txn_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return begins.unionByName(ends).withColumn("conflicts", before).where("begin = 1").select("key", "txn_id", "conflicts")
+    rows = begins.unionByName(ends).withColumn("b", F.floor(F.col("t") / width))
+    earlier = W.partitionBy("key").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    carried = rows.groupBy("key", "b").agg(F.sum("d").alias("d")).select("key", "b", F.coalesce(F.sum("d").over(earlier), F.lit(0)).alias("open"))
+    inside = W.partitionBy("key", "b").orderBy("t", "begin", "txn_id").rowsBetween(W.unboundedPreceding, -1)
+    counted = rows.withColumn("here", F.coalesce(F.sum("d").over(inside), F.lit(0))).where("begin = 1")
+    return counted.join(carried, ["key", "b"]).select("key", "txn_id", (F.col("here") + F.col("open")).alias("conflicts"))
 
 
 def rw_edges(reads: DataFrame, writes: DataFrame, width: int) -> DataFrame:
-    """(reader, writer): the reader read a key that an overlapping transaction wrote. Intervals are listed in each bucket
-    of ``width`` that they touch, and a pair counts in the first bucket they share."""
+    """(reader, writer): the reader read a key that an overlapping transaction wrote. As many rows as there are such pairs.
 
-    def listed(df: DataFrame, p: str) -> DataFrame:
-        first, last = F.floor(F.col("start_ts") / width), F.floor(F.col("commit_ts") / width)
-        return df.select("key", F.col("txn_id").alias(f"{p}_txn"), F.col("start_ts").alias(f"{p}_s"), F.col("commit_ts").alias(f"{p}_e"), F.explode(F.sequence(first, last)).alias("bucket"))
+    Buckets have levels: those of level k are ``width`` * 2**k long. An interval belongs to the first level whose buckets
+    are as long as itself, and is listed in the two buckets at most that it touches there and on every higher level that
+    is in use. A pair meets on the higher of its two levels, so a row stands for at most two listings a level however
+    long an interval is."""
+    level = F.greatest(F.ceil(F.log2(F.greatest(F.col("commit_ts") - F.col("start_ts"), F.lit(1)) / width)), F.lit(0)).cast("int")
+    top = reads.select(level.alias("level")).union(writes.select(level.alias("level"))).agg(F.coalesce(F.max("level"), F.lit(0)).alias("top"))  # one row
 
-    pairs = listed(reads, "r").join(listed(writes, "w"), ["key", "bucket"]).where("r_txn <> w_txn and r_s < w_e and w_s < r_e")
-    shared_first = F.floor(F.greatest("r_s", "w_s") / width) == F.col("bucket")
-    return pairs.where(shared_first).select(F.col("r_txn").alias("reader"), F.col("w_txn").alias("writer")).distinct()
+    def listed(df: DataFrame, p: str) -> DataFrame:
+        rows = df.select("key", F.col("txn_id").alias(f"{p}_txn"), F.col("start_ts").alias(f"{p}_s"), F.col("commit_ts").alias(f"{p}_e"), level.alias(f"{p}_level")).crossJoin(top)
+        rows = rows.withColumn("level", F.explode(F.sequence(f"{p}_level", "top"))).withColumn("size", F.lit(width) * F.pow(F.lit(2.0), "level").cast("bigint"))
+        first, last = F.floor(F.col(f"{p}_s") / F.col("size")), F.floor(F.col(f"{p}_e") / F.col("size"))
+        return rows.withColumn("bucket", F.explode(F.sequence(first, last))).drop("top", "size")
+
+    pairs = listed(reads, "r").join(listed(writes, "w"), ["key", "level", "bucket"])
+    pairs = pairs.where("level = greatest(r_level, w_level) and r_txn <> w_txn and r_s < w_e and w_s < r_e")
+    return pairs.select(F.col("r_txn").alias("reader"), F.col("w_txn").alias("writer")).distinct()
 
 
 def dangerous(edges: DataFrame) -> DataFrame:

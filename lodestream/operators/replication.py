@@ -60,9 +60,19 @@ def append_entries(mine: DataFrame, sent: DataFrame) -> DataFrame:
     return kept.join(sent, "idx", "left_anti").unionByName(sent)
 
 
-def commit_index(match: DataFrame, entries: DataFrame, term: int, members: int) -> DataFrame:
-    """The largest entry of the current term that a majority holds, the leader included."""
-    held = match.groupBy("idx").agg(F.count(F.lit(1)).alias("c"))  # how many followers match exactly up to idx
-    at_least = held.withColumn("holders", F.sum("c").over(W.orderBy(F.desc("idx")).rowsBetween(W.unboundedPreceding, 0)))  # a row per different match index
-    reached = at_least.where(F.col("holders") + 1 > members / 2).agg(F.max("idx").alias("idx"))
-    return entries.crossJoin(reached.withColumnRenamed("idx", "reached")).where((F.col("idx") <= F.col("reached")) & (F.col("term") == term)).agg(F.max("idx").alias("commit_index"))
+def commit_index(match: DataFrame, entries: DataFrame, members: int) -> DataFrame:
+    """The largest entry of the current (the last) term that a majority holds, the leader included."""
+    need = members // 2  # followers beside the leader
+    best = match.orderBy(F.desc("idx")).limit(need) if need else None
+    reached = entries.agg(F.max("idx").alias("reached")) if best is None else best.agg(F.when(F.count(F.lit(1)) == need, F.min("idx")).alias("reached"))
+    now = entries.agg(F.max("term").alias("now"))
+    return entries.crossJoin(reached).crossJoin(now).where("idx <= reached and term = now").agg(F.max("idx").alias("commit_index"))  # one row each
+
+
+def sides_with_quorum(members: DataFrame) -> DataFrame:
+    """For each partitioned network (network, side, node): how many sides reach more than half of its nodes, and whether
+    that is more than one, so that each could go on by itself."""
+    sizes = members.groupBy("network", "side").agg(F.countDistinct("node").alias("n"))
+    whole = members.groupBy("network").agg(F.countDistinct("node").alias("nodes"))
+    strong = F.count_if(2 * F.col("n") > F.col("nodes"))
+    return sizes.join(whole, "network").groupBy("network").agg(strong.alias("with_quorum"), (strong > 1).alias("split"))

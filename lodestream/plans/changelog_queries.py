@@ -76,19 +76,21 @@ def kv_level_overflow(spark, sf_dir):
     return cl.levels(kv_log(spark, sf_dir))
 
 
-LEVEL = "(9 - segment_id) div 4"
-
-
 def kv_compact_level(spark, sf_dir):
-    """Changes left by level after the oldest segment of level 0 went into level 1 (four segments of the first ten a level)."""
-    log = kv_log(spark, sf_dir).where("segment_id < 10")
-    return cl.compact_level(log, F.expr(LEVEL), 0, bottom=False).groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq"), F.count_if("deleted").alias("tombstones"))
+    """Changes left by level after the oldest segment of level 0 went into level 1 (four segments a level, by age)."""
+    log = kv_log(spark, sf_dir)
+    log = log.crossJoin(log.agg(F.max("segment_id").alias("newest")))  # one row
+    return cl.compact_level(log, F.expr("(newest - segment_id) div 4"), 0, bottom=False).groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq"), F.count_if("deleted").alias("tombstones"))
 
 
 def kv_bloom(spark, sf_dir):
-    """What a filter built on the keys of the log says of them: each may be in it."""
+    """A filter of the log's keys, asked for them and for as many keys that are not in it: no key may be missed, and
+    not more than one in twenty of the others may pass where one in a hundred is aimed at."""
     keys = kv_log(spark, sf_dir).select("key").distinct()
-    return cl.might_contain(cl.bloom_filter(keys), keys)
+    filter_ = cl.bloom_filter(keys, 0.01)
+    asked = keys.withColumn("there", F.lit(True)).union(keys.select(F.concat("key", F.lit("?")), F.lit(False)))
+    said = cl.might_contain(filter_, asked)
+    return said.agg(F.count_if("there").alias("keys"), F.count_if(F.col("there") & ~F.col("maybe")).alias("missed"), (20 * F.count_if(~F.col("there") & F.col("maybe")) <= F.greatest(F.count_if(~F.col("there")), F.lit(100))).alias("rate_held"))
 
 
 def kv_read_at(spark, sf_dir):
@@ -142,11 +144,11 @@ ORACLES = {
     "kv_index_floor": f"WITH {KV_LOG}, {INDEX}, w AS (SELECT unnest(['key_0000', 'key_0033', 'key_9999']) AS wanted) SELECT segment_id, wanted, max(key) FILTER (key <= wanted) AS floor, min(key) FILTER (key > wanted) AS ceiling FROM i, w GROUP BY ALL",
     "kv_segments_by_size": f"WITH {KV_LOG}, s AS (SELECT seq, substr(key, 8, 1) AS writer, coalesce(sum(strlen(key) + 17) OVER (PARTITION BY substr(key, 8, 1) ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM kv_log) SELECT writer, (b // 4096)::BIGINT AS rolled, count(*) AS n, min(seq) AS first_seq FROM s GROUP BY ALL",
     "kv_level_overflow": f"WITH {KV_LOG}, s AS (SELECT segment_id, sum(strlen(key) + 8)::BIGINT AS bytes FROM kv_log GROUP BY 1), l AS (SELECT least(length(((SELECT max(segment_id) FROM kv_log) - segment_id)::VARCHAR) - 1, 3)::INT AS level, bytes FROM s) SELECT level, sum(bytes)::BIGINT AS bytes, count(*) AS segments, sum(bytes) > 16384 * pow(10, level) AS over FROM l GROUP BY level",
-    "kv_compact_level": f"""WITH {KV_LOG}, r AS (SELECT *, (9 - segment_id) // 4 AS level FROM kv_log WHERE segment_id < 10), o AS (SELECT min(segment_id) AS s FROM r WHERE level = 0),
+    "kv_compact_level": f"""WITH {KV_LOG}, r AS (SELECT *, ((SELECT max(segment_id) FROM kv_log) - segment_id) // 4 AS level FROM kv_log), o AS (SELECT min(segment_id) AS s FROM r WHERE level = 0),
 m AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS k FROM r, o WHERE level = 1 OR (level = 0 AND segment_id = s)),
 c AS (SELECT level, seq, deleted FROM r, o WHERE NOT (level = 1 OR (level = 0 AND segment_id = s)) UNION ALL SELECT 1, seq, deleted FROM m WHERE k = 1)
 SELECT level, count(*) AS n, max(seq) AS last_seq, count(*) FILTER (deleted) AS tombstones FROM c GROUP BY level""",
-    "kv_bloom": f"WITH {KV_LOG} SELECT DISTINCT key, true AS maybe FROM kv_log",
+    "kv_bloom": f"WITH {KV_LOG} SELECT count(DISTINCT key) AS keys, 0::BIGINT AS missed, true AS rate_held FROM kv_log",
     "kv_read_at": f"WITH {KV_LOG} SELECT seq, key, value, deleted FROM kv_log WHERE segment_id = 2 AND \"offset\" = 17",
     "wal_since_seq": f"WITH {KV_LOG} SELECT seq, key, value, CASE WHEN deleted THEN 2 ELSE 1 END AS op FROM kv_log WHERE seq >= 500",
     "wal_last_seq": f"WITH {KV_LOG} SELECT coalesce(max(seq), -1) AS last_seq FROM kv_log",

@@ -60,7 +60,7 @@ def pncounter_merge(spark, sf_dir):
 
 
 def vector_clock_merge(spark, sf_dir):
-    return rp.max_per_node(_counters(spark, sf_dir).where("replica < 2"), ["node"], ["inc"]).select("node", F.col("inc").alias("clock"))
+    return rp.max_per_node(_counters(spark, sf_dir), ["node"], ["inc"]).select("node", F.col("inc").alias("clock"))
 
 
 def counter_ops(spark, sf_dir):
@@ -84,16 +84,16 @@ def gossip_status(spark, sf_dir):
 
 
 def gossip_counters(spark, sf_dir):
-    """When each node's counter last rose to its greatest value."""
-    best = _counters(spark, sf_dir).groupBy("node").agg(F.max("inc").alias("counter"))
-    return best
+    """Each node's greatest counter, and when it first stood at it: what merged gossip keeps."""
+    e = _events(spark, sf_dir).select((F.col("user_id") % 5).alias("node"), F.col("event_id").alias("inc"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    best = e.groupBy("node").agg(F.max(F.struct("inc", (-F.col("at")).alias("before"))).alias("b"))
+    return best.select("node", F.col("b.inc").alias("counter"), (-F.col("b.before")).alias("rose_at"))
 
 
 def split_brain(spark, sf_dir):
-    """Groups of nodes by what they can reach, and whether more than one has a quorum."""
-    groups = spark.createDataFrame([(0, "a"), (1, "a"), (2, "b"), (3, "b"), (4, "b"), (5, "c")], "node int, side string")
-    sizes = groups.groupBy("side").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.count_if(F.col("n") >= 3).alias("with_quorum"), (F.count_if(F.col("n") >= 3) > 1).alias("split"))
+    """Customers as nodes, an order's priority as the network and its state as the side that a node is seen on."""
+    o = table(spark, sf_dir, "orders")
+    return rp.sides_with_quorum(o.select(F.col("o_orderpriority").alias("network"), F.col("o_orderstatus").alias("side"), F.col("o_custkey").alias("node")))
 
 
 def partition_pairs(spark, sf_dir):
@@ -132,24 +132,34 @@ def raft_votes(spark, sf_dir):
     return c.crossJoin(v).where("candidate <> voter").select("candidate", "voter", (F.col("candidate_log") >= F.col("voter_log")).alias("granted"))  # five nodes
 
 
-def raft_append(spark, sf_dir):
-    """A follower's log after a leader's entries: conflicts are cut off, what was sent stands."""
+def _terms(spark, sf_dir):
+    """The log as entries idx with a term for every hundred, and the last idx."""
     log = kv_log(spark, sf_dir).select(F.col("seq").alias("idx"), F.floor(F.col("seq") / 100).alias("term"))
-    mine = log.where("idx < 700").withColumn("term", F.when(F.col("idx") >= 450, F.col("term") + 7).otherwise(F.col("term")))
-    return rp.append_entries(mine, log.where("idx between 400 and 500"))
+    return log.crossJoin(log.agg(F.max("idx").alias("top")))  # one row
+
+
+def raft_append(spark, sf_dir):
+    """A follower's log after a leader's entries (from two to three fifths of the log): conflicts, which begin in the
+    middle, are cut off, what was sent stands."""
+    log = _terms(spark, sf_dir)
+    mine = log.withColumn("term", F.when(2 * F.col("idx") >= F.col("top"), F.col("term") + 7).otherwise(F.col("term")))
+    return rp.append_entries(mine.drop("top"), log.where("5 * idx between 2 * top and 3 * top").drop("top"))
 
 
 def raft_commit_index(spark, sf_dir):
-    log = kv_log(spark, sf_dir).select(F.col("seq").alias("idx"), F.floor(F.col("seq") / 100).alias("term")).where("idx < 1000")
-    match = spark.createDataFrame([("f1", 930), ("f2", 955), ("f3", 912), ("f4", 990)], "follower string, idx long")
-    return rp.commit_index(match, log, 9, 5)
+    """Four followers hold a prefix of the log each, up to the last entry that each has acknowledged."""
+    log = _terms(spark, sf_dir).drop("top")
+    match = log.where("idx % 10 >= idx % 4").groupBy((F.col("idx") % 4).alias("follower")).agg(F.max("idx").alias("idx"))
+    return rp.commit_index(match, log, 5)
 
 
 def raft_apply(spark, sf_dir):
-    """State after the committed entries beyond those applied."""
+    """State after the committed entries (nine tenths of the log) beyond those applied (six tenths)."""
     from lodestream.operators.changelog import apply_entries
 
-    return apply_entries(kv_log(spark, sf_dir).where("seq <= 900"), 600)
+    log = kv_log(spark, sf_dir)
+    log = log.crossJoin(log.agg(F.max("seq").alias("top")))  # one row
+    return apply_entries(log.where("10 * seq <= 9 * top"), F.expr("6 * top div 10"))
 
 
 def snapshot_due(spark, sf_dir):
@@ -179,15 +189,15 @@ ORACLES = {
     "elect_min_alive": f"SELECT min(node) AS leader FROM ({ALIVE}) WHERE alive",
     "gcounter_merge": f"WITH {COUNTERS} SELECT sum(m)::BIGINT AS value, count(*) AS nodes FROM (SELECT node, max(inc) AS m FROM c GROUP BY 1)",
     "pncounter_merge": f"WITH {COUNTERS} SELECT (sum(p) - sum(m))::BIGINT AS value FROM (SELECT node, max(inc) AS p, max(dec) AS m FROM c GROUP BY 1)",
-    "vector_clock_merge": f"WITH {COUNTERS} SELECT node, max(inc) AS clock FROM c WHERE replica < 2 GROUP BY 1",
+    "vector_clock_merge": f"WITH {COUNTERS} SELECT node, max(inc) AS clock FROM c GROUP BY 1",
     "counter_ops": "SELECT user_id % 5 AS node, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END)::BIGINT AS counter, count(*) AS clock FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1",
     "phi_accrual": f"""WITH g AS (SELECT user_id AS node, {T} AS t, {T} - lag({T}) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events),
 w AS (SELECT node, t, avg(gap) OVER k AS m, greatest(stddev_pop(gap) OVER k, 0.5) AS d, count(gap) OVER k AS n, row_number() OVER (PARTITION BY node ORDER BY t DESC) AS r FROM g WINDOW k AS (PARTITION BY node ORDER BY t ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
 y AS (SELECT *, (SELECT max({T}) FROM events) - t AS s FROM w WHERE r = 1), e AS (SELECT *, exp(-((s - m) / d) * (1.5976 + 0.070566 * ((s - m) / d) * ((s - m) / d))) AS e FROM y)
 SELECT node, CASE WHEN n >= 2 THEN round(-log10(greatest(CASE WHEN s > m THEN e / (1 + e) ELSE 1 - 1 / (1 + e) END, 1e-300)), 3) END AS phi FROM e""",
     "gossip_status": f"WITH {SEEN} SELECT node, CASE WHEN now - last > 15000 THEN 'failed' WHEN now - last > 5000 THEN 'suspected' ELSE 'alive' END AS status FROM s",
-    "gossip_counters": f"WITH {COUNTERS} SELECT node, max(inc) AS counter FROM c GROUP BY 1",
-    "split_brain": "SELECT count(*) FILTER (n >= 3) AS with_quorum, count(*) FILTER (n >= 3) > 1 AS split FROM (SELECT side, count(*) AS n FROM (VALUES (0, 'a'), (1, 'a'), (2, 'b'), (3, 'b'), (4, 'b'), (5, 'c')) g(node, side) GROUP BY side)",
+    "gossip_counters": "WITH e AS (SELECT user_id % 5 AS node, event_id AS inc, epoch_us(ts) AS moment FROM events), b AS (SELECT node, max(inc) AS counter FROM e GROUP BY 1) SELECT b.node, counter, min(moment) AS rose_at FROM b JOIN e ON e.node = b.node AND e.inc = b.counter GROUP BY ALL",
+    "split_brain": "WITH s AS (SELECT o_orderpriority AS network, o_orderstatus AS side, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1, 2), w AS (SELECT o_orderpriority AS network, count(DISTINCT o_custkey) AS nodes FROM orders GROUP BY 1) SELECT network, count(*) FILTER (2 * n > nodes) AS with_quorum, count(*) FILTER (2 * n > nodes) > 1 AS split FROM s JOIN w USING (network) GROUP BY network",
     "partition_pairs": "SELECT least(a.n_nationkey, b.n_nationkey) AS low, greatest(a.n_nationkey, b.n_nationkey) AS high FROM nation a, nation b WHERE a.n_regionkey = 0 AND b.n_regionkey = 1",
     "latency_stats": """WITH e AS (SELECT hour(ts)::INT AS hour, event_type, value, row_number() OVER (PARTITION BY hour(ts) ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY hour(ts)) AS n FROM events)
 SELECT hour, count(*) AS total, count(*) FILTER (event_type <> 'error') AS ok, count(*) FILTER (event_type <> 'error') / count(*) AS rate, sum(value::DECIMAL(18,2))::DOUBLE / count(*) AS mean,
@@ -195,9 +205,9 @@ max(value) FILTER (r = floor(n * 0.5)) AS p50, max(value) FILTER (r = floor(n *
     "slow_tasks": "SELECT event_id, value FROM events WHERE event_type = 'error' AND value > 1.5 * (SELECT sum(value::DECIMAL(18,2))::DOUBLE / count(*) FROM events WHERE event_type <> 'error')",
     "task_status": "SELECT event_type AS state, event_id % 3 AS attempt, count(*) AS tasks FROM events GROUP BY 1, 2",
     "raft_votes": f"WITH {KV_LOG}, l AS (SELECT seq % 5 AS node, max(segment_id) AS t, count(*) AS i FROM kv_log GROUP BY 1) SELECT c.node AS candidate, v.node AS voter, (c.t > v.t OR (c.t = v.t AND c.i >= v.i)) AS granted FROM l c, l v WHERE c.node <> v.node",
-    "raft_append": "SELECT event_id AS idx, event_id // 100 AS term FROM events WHERE event_id <= 500",
-    "raft_commit_index": "SELECT max(event_id) AS commit_index FROM events WHERE event_id < 1000 AND event_id // 100 = 9 AND (SELECT count(*) FROM (VALUES (930), (955), (912), (990)) m(x) WHERE x >= event_id) + 1 > 2.5",
-    "raft_apply": f"WITH {KV_LOG} SELECT key, value, seq, deleted FROM kv_log WHERE seq > 600 AND seq <= 900 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1",
+    "raft_append": "SELECT event_id AS idx, event_id // 100 AS term FROM events WHERE 5 * event_id <= 3 * (SELECT max(event_id) FROM events)",
+    "raft_commit_index": "WITH m AS (SELECT event_id % 4 AS f, max(event_id) AS x FROM events WHERE event_id % 10 >= event_id % 4 GROUP BY 1) SELECT max(event_id) AS commit_index FROM events WHERE event_id // 100 = (SELECT max(event_id // 100) FROM events) AND event_id <= (SELECT min(x) FROM (SELECT x FROM m ORDER BY x DESC LIMIT 2))",
+    "raft_apply": f"WITH {KV_LOG} SELECT key, value, seq, deleted FROM kv_log WHERE seq > 6 * (SELECT max(seq) FROM kv_log) // 10 AND 10 * seq <= 9 * (SELECT max(seq) FROM kv_log) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1",
     "snapshot_due": "SELECT max(event_id) AS last_index, max(event_id) - 500 > 1000 AS due FROM events",
     "session_guarantees": f"WITH {KV_LOG}, l AS (SELECT key, seq, seq * 7919 % 1000 AS r FROM kv_log), m AS (SELECT *, max(r) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM l) SELECT key, count(*) FILTER (r < s) AS stale, count(*) AS reads FROM m GROUP BY key",
 }

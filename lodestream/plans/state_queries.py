@@ -69,7 +69,7 @@ def _gc(safe):
 
 def mvcc_write_conflicts(spark, sf_dir):
     """Transactions that begin while others hold their key."""
-    return mv.open_before(versions(spark, sf_dir).where("start_ts < commit_ts")).where("conflicts > 0")
+    return mv.open_before(versions(spark, sf_dir).where("start_ts < commit_ts"), DAY).where("conflicts > 0")
 
 
 def _reads(spark, sf_dir):
@@ -107,8 +107,9 @@ def sm_kv(spark, sf_dir):
 
 
 def sm_kv_snapshot(spark, sf_dir):
-    """The same as of command 400, and how far it had been applied."""
-    part = commands(spark, sf_dir).where("idx <= 400")
+    """The same as of the middle of the commands, and how far it had been applied."""
+    every = commands(spark, sf_dir)
+    part = every.crossJoin(every.agg(F.max("idx").alias("top"))).where("2 * idx <= top")  # one row
     last = part.where("op in ('click', 'view')").groupBy("key").agg(F.max_by(F.struct("op", "owner"), "idx").alias("v"), F.max("idx").alias("applied"))
     return last.where("v.op = 'click'").select("key", F.col("v.owner").alias("value"), "applied")
 
@@ -178,7 +179,7 @@ UNION ALL SELECT l, count(*), sum(value::DECIMAL(18,2))::DOUBLE FROM ({SNAPSHOT.
     "ssi_dangerous": f"WITH {VERSIONS}, {EDGES} SELECT o.reader AS txn_id, o.n AS out_conflicts, i.n AS in_conflicts FROM (SELECT reader, count(*) AS n FROM e GROUP BY 1) o JOIN (SELECT writer, count(*) AS n FROM e GROUP BY 1) i ON o.reader = i.writer",
     "twopc_outcome": "SELECT l_orderkey, CASE WHEN bool_and(l_returnflag <> 'R') THEN 'committed' ELSE 'aborted' END AS outcome, count(*) AS participants FROM lineitem GROUP BY 1",
     "sm_kv": f"WITH {COMMANDS} SELECT key, owner AS value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY idx DESC) AS r FROM commands WHERE op IN ('click', 'view')) WHERE r = 1 AND op = 'click'",
-    "sm_kv_snapshot": f"WITH {COMMANDS} SELECT key, owner AS value, idx AS applied FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY idx DESC) AS r FROM commands WHERE op IN ('click', 'view') AND idx <= 400) WHERE r = 1 AND op = 'click'",
+    "sm_kv_snapshot": f"WITH {COMMANDS} SELECT key, owner AS value, idx AS applied FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY idx DESC) AS r FROM commands WHERE op IN ('click', 'view') AND 2 * idx <= (SELECT max(idx) FROM commands)) WHERE r = 1 AND op = 'click'",
     "sm_config_version": f"WITH {COMMANDS} SELECT key, count(*) FILTER (op IN ('click', 'view', 'purchase')) AS version FROM commands GROUP BY key",
     "sm_config_prefix": f"WITH {KV_LOG} SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM kv_log) WHERE r = 1 AND NOT deleted AND starts_with(key, 'key_01')",
     "sm_config_batch": f"WITH {COMMANDS}, b AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY idx DESC) AS r FROM commands WHERE op IN ('click', 'view')) SELECT key, max(CASE WHEN r = 1 AND op = 'click' THEN owner END) AS value, count(DISTINCT idx // 50) AS versions FROM b GROUP BY key",

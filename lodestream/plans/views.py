@@ -61,12 +61,12 @@ SHARD_ROWS = "shard_rows AS (SELECT o_orderkey::VARCHAR AS key, o_totalprice AS
 
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered commands: idx, key (one of ten), owner, op (the event type), value, t in whole seconds."""
+    """Ordered commands: idx, key (one of every ten users), owner, op (the event type), value, t in whole seconds."""
     e = table(spark, sf_dir, "events")
     return e.select(
-        F.col("event_id").alias("idx"), (F.col("user_id") % 10).alias("key"), F.col("user_id").alias("owner"), F.col("event_type").alias("op"), F.floor(F.col("value")).cast("long").alias("value"),
+        F.col("event_id").alias("idx"), F.floor(F.col("user_id") / 10).alias("key"), F.col("user_id").alias("owner"), F.col("event_type").alias("op"), F.floor(F.col("value")).cast("long").alias("value"),
         F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long").alias("t"),
     )
 
 
-COMMANDS = "commands AS (SELECT event_id AS idx, user_id % 10 AS key, user_id AS owner, event_type AS op, floor(value)::BIGINT AS value, (epoch_us(ts) // 1000000)::BIGINT AS t FROM events)"
+COMMANDS = "commands AS (SELECT event_id AS idx, user_id // 10 AS key, user_id AS owner, event_type AS op, floor(value)::BIGINT AS value, (epoch_us(ts) // 1000000)::BIGINT AS t FROM events)"
