@@ -12,7 +12,7 @@ share does not make them candidates.
    pair shares at most k - 1 go, and at least one list still holds both.
 3. Fetch the sets of the remaining nodes once, and do the same under the other orders (other hashes of the tokens); a
    node stays only if it passes under every order.
-4. Stars: every node is compared with ONE partner: the first node, by a hash, of its lists under every order at once.
+4. Stars: every node is compared with ONE partner: the least that is the least of one of its lists under every order.
    What is linked is merged. There are at most as many pairs as nodes.
 5. Neighbours: in lists that still span components, every node is held against the next ``NEXT`` of each list, in an
    order of the list's own, and its ``NEAREST`` by a parity sketch (a lower bound of the symmetric difference) are
@@ -202,36 +202,35 @@ def _lists(shared: DataFrame) -> DataFrame:
     return kept(shared.select("token", "block", "blocks", "node", "n").repartition(partitions(shared.sparkSession), "token", "block"))
 
 
-def _spans(lists: DataFrame, labels: DataFrame | None, split: bool) -> DataFrame:
-    """Rows of the lists that hold several components, with each node's component (label; before any is known, each node
-    is its own) and the list's first node (low) in the order of a hash: by component, then by node. ``split``: whether any
-    list is in blocks."""
-    rows = lists
-    if labels is None:
-        rows = rows.withColumn("label", F.col("node"))
-    else:
-        few = labels.count() <= MOST_BROADCAST
-        rows = rows.join(F.broadcast(labels) if few else labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _spans(lists: DataFrame, labels: DataFrame, split: bool) -> DataFrame:
+    """Rows of the lists that hold several components, with each node's component (label) and the list's least node (low).
+    ``split``: whether any list is in blocks."""
+    few = labels.count() <= MOST_BROADCAST
+    rows = lists.join(F.broadcast(labels) if few else labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = _whole_lists(rows, {"low": F.min("node"), "l0": F.min("label"), "l1": F.max("label")}, split)
+    return rows.where("l0 <> l1").drop("l0", "l1")
+
+
+def _whole_lists(rows: DataFrame, found: dict[str, Column], split: bool) -> DataFrame:
+    """``rows`` with minima or maxima over their lists; of a list in blocks, over all its blocks."""
     block = W.partitionBy("token", "block")
-    me = F.struct(F.xxhash64("label").alias("r"), "label", F.xxhash64("node").alias("s"), "node")
-    rows = rows.withColumns({"low": F.min(me).over(block), "high": F.max(me).over(block)})
-    if split:
-        blocks = rows.where("blocks > 1").select("token", "block", "low", "high").distinct()  # a row per block
-        whole = blocks.select("token", "block").join(blocks.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")), "token")
-        rows = rows.join(whole, ["token", "block"], "left").withColumns({"low": F.coalesce("least", "low"), "high": F.coalesce("most", "high")}).drop("least", "most")
-    return rows.where("low.label <> high.label").drop("high")
+    rows = rows.repartition(partitions(rows.sparkSession), "token", "block").withColumns({c: e.over(block) for c, e in found.items()})
+    if not split:
+        return rows
+    blocks = rows.where("blocks > 1").select("token", "block", *found).distinct()  # a row per block
+    whole = blocks.groupBy("token").agg(*[(F.max if c == "l1" else F.min)(c).alias(f"{c}_") for c in found])
+    rows = rows.join(blocks.select("token", "block").join(whole, "token"), ["token", "block"], "left")
+    return rows.withColumns({c: F.coalesce(f"{c}_", c) for c in found}).drop(*[f"{c}_" for c in found])
 
 
 def _stars(lists: list[DataFrame], split: bool) -> DataFrame:
-    """At most one pair (a, b), a < b, for every node: with the first of its partners under all orders. A node's partners
-    are the first nodes of its lists."""
+    """At most one pair (a, b), a < b, for every node: with the least of its partners under all orders. A node's partners
+    are the least nodes of its lists. (Nodes are hashes, so the least is any.)"""
     found = None
     for k, x in enumerate(lists):
-        here = _spans(x, None, split).where("low.node <> node").groupBy("node").agg(F.collect_set("low.node").alias(f"p{k}"))
+        here = _whole_lists(x, {"low": F.min("node")}, split).where("low <> node").groupBy("node").agg(F.collect_set("low").alias(f"p{k}"))
         found = here if found is None else found.join(here, "node").withColumn("p0", F.array_intersect("p0", f"p{k}")).drop(f"p{k}")
-    ranked = F.array_sort(F.transform("p0", lambda x: F.struct(F.xxhash64(x).alias("s"), x.alias("node"))))
-    pairs = found.select("node", F.get(ranked, F.lit(0)).getField("node").alias("partner")).where("partner is not null")
-    return pairs.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
+    return found.select(F.array_min("p0").alias("a"), F.col("node").alias("b")).where("a is not null")
 
 
 def _allowed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -297,7 +296,7 @@ def _candidates(rows: DataFrame, percent: int = PERCENT, near: bool = False) ->
     """Pairs (a, b), a < b, of nodes of different components in the same list whose sizes and sketches allow a link; if
     ``near``, only those that stand near each other in a list, and the nearest of each node.
     rows: low, part, token, x, y (the list, or two blocks of it), node, n, label; and a row without a token but with the
-    sketch for each node of a part. A pair is in many lists; lists with the same first node (low) are dealt to the same
+    sketch for each node of a part. A pair is in many lists; lists with the same least node (low) are dealt to the same
     task, which gives each pair once. Where these have very many rows, they are dealt in parts."""
     cols = ("token", "x", "y", "low", "part", "node", "n", "label", "block", "sketch")
 
@@ -384,8 +383,8 @@ def _candidates(rows: DataFrame, percent: int = PERCENT, near: bool = False) ->
 
 def _spanning(lists: DataFrame, labels: DataFrame, sets: DataFrame, split: bool) -> DataFrame:
     """Rows for ``_candidates``: lists that hold several components, with each node's label, and the sketches. Lists of the
-    same first node are dealt together, or in parts of about PART_ROWS rows."""
-    rows = _spans(lists, labels, split).withColumn("low", F.col("low.node"))
+    same least node are dealt together, or in parts of about PART_ROWS rows."""
+    rows = _spans(lists, labels, split)
     heavy = rows.groupBy("low").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > PART_ROWS)
     rows = rows.join(heavy, "low", "left").withColumn("part", F.pmod(F.xxhash64("token"), F.floor(F.coalesce("size", F.lit(0)) / PART_ROWS) + 1))
     about = rows.select("low", "part", "node").distinct().join(sets.select("node", "sketch"), "node")
