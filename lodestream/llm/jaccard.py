@@ -203,32 +203,26 @@ def _lists(shared: DataFrame) -> DataFrame:
 
 
 def _spans(lists: DataFrame, labels: DataFrame, split: bool) -> DataFrame:
-    """Rows of the lists that hold several components, with each node's component (label) and the list's least node (low).
-    ``split``: whether any list is in blocks."""
+    """Rows of the lists that hold several components, with each node's component (label) and the list's least node (low;
+    of a list in blocks, its token). ``split``: whether any list is in blocks; MOST_HOT lists are at most."""
     few = labels.count() <= MOST_BROADCAST
-    rows = lists.join(F.broadcast(labels) if few else labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = _whole_lists(rows, {"low": F.min("node"), "l0": F.min("label"), "l1": F.max("label")}, split)
-    return rows.where("l0 <> l1").drop("l0", "l1")
-
-
-def _whole_lists(rows: DataFrame, found: dict[str, Column], split: bool) -> DataFrame:
-    """``rows`` with minima or maxima over their lists; of a list in blocks, over all its blocks."""
     block = W.partitionBy("token", "block")
-    rows = rows.repartition(partitions(rows.sparkSession), "token", "block").withColumns({c: e.over(block) for c, e in found.items()})
-    if not split:
-        return rows
-    blocks = rows.where("blocks > 1").select("token", "block", *found).distinct()  # a row per block
-    whole = blocks.groupBy("token").agg(*[(F.max if c == "l1" else F.min)(c).alias(f"{c}_") for c in found])
-    rows = rows.join(blocks.select("token", "block").join(whole, "token"), ["token", "block"], "left")
-    return rows.withColumns({c: F.coalesce(f"{c}_", c) for c in found}).drop(*[f"{c}_" for c in found])
+    rows = lists.join(F.broadcast(labels) if few else labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = rows.repartition(partitions(rows.sparkSession), "token", "block").withColumns({"low": F.min("node").over(block), "l0": F.min("label").over(block), "l1": F.max("label").over(block)})
+    whole = rows.where("blocks = 1 and l0 <> l1") if split else rows.where("l0 <> l1")
+    if split:
+        several = rows.where("blocks > 1").groupBy("token").agg(F.min("l0").alias("l0"), F.max("l1").alias("l1")).where("l0 <> l1").select("token")
+        whole = whole.unionByName(rows.where("blocks > 1").withColumn("low", F.col("token")).join(F.broadcast(several), "token", "left_semi"))
+    return whole.drop("l0", "l1")
 
 
-def _stars(lists: list[DataFrame], split: bool) -> DataFrame:
+def _stars(lists: list[DataFrame]) -> DataFrame:
     """At most one pair (a, b), a < b, for every node: with the least of its partners under all orders. A node's partners
-    are the least nodes of its lists. (Nodes are hashes, so the least is any.)"""
+    are the least nodes of its lists, or of its blocks of these. (Nodes are hashes, so the least is any.)"""
     found = None
     for k, x in enumerate(lists):
-        here = _whole_lists(x, {"low": F.min("node")}, split).where("low <> node").groupBy("node").agg(F.collect_set("low").alias(f"p{k}"))
+        rows = x.repartition(partitions(x.sparkSession), "token", "block").withColumn("low", F.min("node").over(W.partitionBy("token", "block")))
+        here = rows.where("low <> node").groupBy("node").agg(F.collect_set("low").alias(f"p{k}"))
         found = here if found is None else found.join(here, "node").withColumn("p0", F.array_intersect("p0", f"p{k}")).drop(f"p{k}")
     return found.select(F.array_min("p0").alias("a"), F.col("node").alias("b")).where("a is not null")
 
@@ -383,14 +377,16 @@ def _candidates(rows: DataFrame, percent: int = PERCENT, near: bool = False) ->
 
 def _spanning(lists: DataFrame, labels: DataFrame, sets: DataFrame, split: bool) -> DataFrame:
     """Rows for ``_candidates``: lists that hold several components, with each node's label, and the sketches. Lists of the
-    same least node are dealt together, or in parts of about PART_ROWS rows."""
-    rows = _spans(lists, labels, split)
-    heavy = rows.groupBy("low").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > PART_ROWS)
-    rows = rows.join(heavy, "low", "left").withColumn("part", F.pmod(F.xxhash64("token"), F.floor(F.coalesce("size", F.lit(0)) / PART_ROWS) + 1))
-    about = rows.select("low", "part", "node").distinct().join(sets.select("node", "sketch"), "node")
+    same least node are dealt together, or in parts of about PART_ROWS rows; of a list in blocks, each pair of blocks is
+    dealt by itself."""
+    rows = written(_spans(lists, labels, split), "spans")
+    heavy = rows.where("blocks = 1").groupBy("low").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > PART_ROWS)
     # Each row goes to its block paired with every block of the list, once for the pair.
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
-    rows = rows.withColumn("p", F.explode(pairs)).select("token", "p.x", "p.y", "low", "part", "node", "n", "label", "block")
+    rows = rows.join(heavy, "low", "left").withColumn("p", F.explode(pairs))
+    part = F.when(F.col("blocks") > 1, F.xxhash64("p.x", "p.y")).otherwise(F.pmod(F.xxhash64("token"), F.floor(F.coalesce("size", F.lit(0)) / PART_ROWS) + 1))
+    rows = rows.select("token", "p.x", "p.y", "low", part.alias("part"), "node", "n", "label", "block")
+    about = rows.select("low", "part", "node").distinct().join(sets.select("node", "sketch"), "node")
     return rows.unionByName(about, allowMissingColumns=True)
 
 
@@ -454,12 +450,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, orders:
         shared[0] = shared[0].join(other.select("node").distinct(), "node", "left_semi")
 
     lists = [_lists(x) for x in shared]
-    links = written(verified(plausible(_stars(lists, split), sets, percent), sets, percent), "stars", small=True)
+    links = written(verified(plausible(_stars(lists), sets, percent), sets, percent), "stars", small=True)
     for near in (True, False):
         labels = components(links)
         found = None
         for x in lists:
-            here = _candidates(_spanning(x, labels, sets, split), percent, near)
+            here = written(_candidates(_spanning(x, labels, sets, split), percent, near), "candidates", small=True)
             found = here if found is None else found.join(here, ["a", "b"], "left_semi")
         links = links.union(written(verified(found, sets, percent), "links", small=True))
     labels = components(links)
