@@ -9,6 +9,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,46 @@ def wal_rows(data: bytes) -> Iterator[tuple[int, int, str, str | None, float]]:
         at = end
 
 
+#: Entries in a write-ahead file.
+ENTRIES = 10_000
+
+
+def _write(rows: DataFrame, folder: str, key: str, record, most: int) -> None:
+    """A file for each run of rows with the same key, in their order, of ``most`` rows at most. A file is one line of a
+    text file; the byte that ends the line is shorter than any record's header, so readers stop before it."""
+    ship_package(rows.sparkSession)
+    at = rows.columns.index(key)
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, out, n = None, bytearray(), 0
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if n and (row[at] != held or n == most):
+                    yield pa.RecordBatch.from_arrays([pa.array([held], b.column(at).type), pa.array([bytes(out)], pa.binary())], [key, "data"])
+                    out, n = bytearray(), 0
+                held, n = row[at], n + 1
+                out += record(row)
+            kept = b.column(at).type
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([held], kept), pa.array([bytes(out)], pa.binary())], [key, "data"])
+
+    made = rows.mapInArrow(run, f"{key} {kind}, data binary").select(key, F.col("data").cast("string").alias("value"))
+    made.write.option("maxRecordsPerFile", 1).partitionBy(key).text(folder)
+
+
+def write_segments(log: DataFrame, folder: str) -> None:
+    """A changelog (segment_id, seq, key, value or null, deleted) as a file per segment, in folders segment_id=N."""
+    rows = log.select(F.col("segment_id").cast("long"), "seq", "key", "value", "deleted").repartition("segment_id").sortWithinPartitions("segment_id", "seq")
+    _write(rows, folder, "segment_id", lambda r: segment_record(r[2], None if r[4] else r[3]), 1 << 62)
+
+
+def write_wal(entries: DataFrame, folder: str) -> None:
+    """Entries (seq, op, key, value, t in seconds) as write-ahead files of up to ENTRIES entries, by ranges of seq."""
+    rows = entries.select(F.floor(F.col("seq") / ENTRIES).alias("part"), "seq", "op", "key", "value", "t").repartition("part").sortWithinPartitions("part", "seq")
+    _write(rows, folder, "part", lambda r: wal_entry(r[1], r[2], r[3], r[4], r[5]), ENTRIES)
+
+
 def _files(spark: SparkSession, folder: str, rows, schema: str) -> DataFrame:
     ship_package(spark)
     names = [x.split()[0] for x in schema.split(",")]
@@ -67,9 +108,11 @@ def _files(spark: SparkSession, folder: str, rows, schema: str) -> DataFrame:
 
 
 def read_segments(spark: SparkSession, folder: str) -> DataFrame:
-    """path, segment_id (the digits of the file's name), offset, key, value, deleted, and seq, their common order."""
+    """path, segment_id (of the file's folder segment_id=N, else the digits of its name), offset, key, value, deleted, and
+    seq, their common order."""
     rows = _files(spark, folder, segment_rows, "offset long, key string, value string, deleted boolean")
-    return rows.withColumn("segment_id", F.regexp_extract("path", r"(\d+)[^/]*$", 1).cast("long")).withColumn("seq", F.struct("segment_id", "offset"))
+    number = F.coalesce(F.nullif(F.regexp_extract("path", r"/segment_id=(\d+)/", 1), F.lit("")), F.regexp_extract("path", r"(\d+)[^/]*$", 1))
+    return rows.withColumn("segment_id", number.cast("long")).withColumn("seq", F.struct("segment_id", "offset"))
 
 
 def read_wal(spark: SparkSession, folder: str) -> DataFrame:

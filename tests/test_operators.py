@@ -242,3 +242,41 @@ def test_bad_records():
         codec.decode(b"XXXX", ALL)
     with pytest.raises(ValueError):
         codec.read_varint(b"\x80", 0)
+
+
+def test_bloom_filter_misses_and_never_loses(spark):
+    from lodestream.operators import changelog as cl
+
+    keys = spark.range(30_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    bloom = cl.bloom_filter(keys, 0.01)
+    assert bloom.blocks > 1
+    assert cl.might_contain(bloom, keys).where("not maybe").count() == 0
+    others = spark.range(30_000).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("key"))
+    assert cl.might_contain(bloom, others).where("maybe").count() < 900
+    nothing = cl.bloom_filter(keys.limit(0), 0.01)
+    assert cl.might_contain(nothing, keys.limit(5)).where("maybe").count() == 0
+
+
+def test_rw_edges_with_very_long_intervals(spark):
+    import random
+
+    from lodestream.operators import mvcc
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(3), i, s, s + rng.choice([1, 5, 40, 3000, 10**9])) for i in range(120) for s in [rng.randrange(5000)]]
+    df = spark.createDataFrame(rows, "key long, txn_id long, start_ts long, commit_ts long")
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and a[2] < b[3] and b[2] < a[3]}
+    got = [(r.reader, r.writer) for r in mvcc.rw_edges(df, df, 10).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_commit_index_and_sides(spark):
+    from lodestream.operators import replication as rp
+
+    entries = spark.createDataFrame([(i, i // 10) for i in range(40)], "idx long, term long")
+    match = spark.createDataFrame([("a", 35), ("b", 38), ("c", 10), ("d", 5)], "follower string, idx long")
+    assert rp.commit_index(match, entries, 5).first().commit_index == 35
+    assert rp.commit_index(match.limit(1), entries, 5).first().commit_index is None
+    assert rp.commit_index(match.where("idx < 30"), entries, 5).first().commit_index is None  # not of the current term
+    members = spark.createDataFrame([("n", "l", 1), ("n", "l", 2), ("n", "r", 3), ("m", "l", 1), ("m", "r", 1)], "network string, side string, node int")
+    assert {(r.network, r.with_quorum, r.split) for r in rp.sides_with_quorum(members).collect()} == {("n", 1, False), ("m", 2, True)}
