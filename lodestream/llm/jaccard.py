@@ -381,6 +381,9 @@ def _spanning(lists: DataFrame, labels: DataFrame, sets: DataFrame, split: bool)
     dealt by itself."""
     rows = written(_spans(lists, labels, split), "spans")
     heavy = rows.where("blocks = 1").groupBy("low").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > PART_ROWS)
+    heavy = written(heavy, "heavy", small=True)
+    if heavy.count() <= MOST_BROADCAST:
+        heavy = F.broadcast(heavy)  # the rows stay where they are; those of one low may be a third of all
     # Each row goes to its block paired with every block of the list, once for the pair.
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
     rows = rows.join(heavy, "low", "left").withColumn("p", F.explode(pairs))
