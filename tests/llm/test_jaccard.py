@@ -65,8 +65,10 @@ def corpus(seed, n=220):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_links_at_the_threshold(spark, seed, monkeypatch):
+    if seed == 3:  # lists of the same least node in parts
+        monkeypatch.setattr(j, "PART_ROWS", 2)
     if seed == 2:  # long lists in blocks, no broadcasts
         monkeypatch.setattr(j, "BLOCK_ROWS", 4)
         monkeypatch.setattr(j, "SAMPLED", 2)
