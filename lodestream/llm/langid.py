@@ -14,7 +14,7 @@ driver holds one shard at a time, however large the model is.
 
 A text's score is its cross-entropy per character, and the lowest wins. A prediction is marked as rejected if the text is
 further from the language than nearly all learned texts of that language and of about that length are: ``WIDTH``
-standard deviations above their mean.
+standard deviations above their mean, which are those of all learned texts.
 
 ``score`` is the posterior under equal priors of ``EVIDENCE`` characters at the text's mean rates: neighbouring
 characters are far from independent, and with a text's full length every score would be 0 or 1.
@@ -42,8 +42,8 @@ ORDER, UNKNOWN = 4, "und"
 SHARD_ROWS = 4_000_000
 #: Characters that the reported confidence is based on, and standard deviations beyond which a text is rejected.
 EVIDENCE, WIDTH = 40, 4.0
-#: One in so many learned documents is scored again to see what is usual, in bands of length; a band has so many at least.
-CALIBRATED, LEAST_IN_BAND, BANDS = 8, 20, 24
+#: Bands of length, and texts that it takes to see what is usual in one.
+LEAST_IN_BAND, BANDS = 20, 24
 BLANK = 32
 _LETTERS: list[np.ndarray] = []
 
@@ -290,13 +290,12 @@ def entropies(docs: DataFrame, model: Model, columns: list[str], text_col: str =
     return rows
 
 
-def calibrated(model: Model, docs: DataFrame, text_col: str, lang_col: str) -> Model:
-    """The model with its limits: from the entropies of a part of the learned documents under their own language."""
+def calibrated(model: Model, scored: DataFrame, lang_col: str) -> Model:
+    """The model with its limits: from the entropies of all learned documents (``entropies``) under their own language."""
     if not model.langs:
         return model
-    number = F.array_position(F.array(*[F.lit(x) for x in model.langs]), F.col("_lang"))
-    some = docs.where(F.col(lang_col).isNotNull() & (F.pmod(F.xxhash64(text_col), F.lit(CALIBRATED)) == 0)).select(F.col(text_col).alias("_t"), F.col(lang_col).alias("_lang"))
-    seen = entropies(some, model, ["_lang"], "_t").where("_some").select("_lang", F.least(F.floor(F.log2(F.greatest("_length", F.lit(1)))), F.lit(BANDS - 1)).alias("band"), F.element_at("_entropy", number.cast("int")).alias("e"))
+    number = F.array_position(F.array(*[F.lit(x) for x in model.langs]), F.col(lang_col))
+    seen = scored.where(F.col("_some") & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("_lang"), F.least(F.floor(F.log2(F.greatest("_length", F.lit(1)))), F.lit(BANDS - 1)).alias("band"), F.element_at("_entropy", number.cast("int")).alias("e"))
     rows = seen.groupBy("_lang", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("s"), F.sum(F.col("e") * F.col("e")).alias("q")).collect()  # BANDS rows a language
     n, s, q = np.zeros((3, len(model.langs), BANDS))
     for r in rows:
@@ -315,8 +314,8 @@ def calibrated(model: Model, docs: DataFrame, text_col: str, lang_col: str) -> M
     return Model(model.langs, model.shards, limits)
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shard_rows: int = SHARD_ROWS) -> Model:
-    """A model from all rows with a language."""
+def learned(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shard_rows: int = SHARD_ROWS) -> Model:
+    """A model without limits from all rows with a language."""
     ship(docs.sparkSession)
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,14 +325,18 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shard
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     found = written(rows.mapInArrow(turn, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    return calibrated(build(found, shard_rows), docs, text_col, lang_col)
+    return build(found, shard_rows)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score and rejected of every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    if not model.langs:
-        return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shard_rows: int = SHARD_ROWS) -> Model:
+    """A model from all rows with a language, with its limits."""
+    model = learned(docs, text_col, lang_col, shard_rows)
+    some = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("_t"), F.col(lang_col).alias("_lang"))
+    return calibrated(model, entropies(some, model, ["_lang"], "_t"), "_lang") if model.langs else model
+
+
+def judged(scored: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score and rejected from (doc_id, _length, _some, _entropy)."""
     names, limits = pa.array([*model.langs, UNKNOWN]), model.limits
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,8 +350,19 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             best, score, rejected = np.where(some, best, len(names) - 1), np.where(some, score, 0.0), np.where(some, rejected, True)
             yield pa.RecordBatch.from_arrays([b.column(0), names.take(pa.array(best)), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, lang_pred string, score double, rejected boolean"
-    return entropies(rows, model, ["doc_id"]).mapInArrow(turn, schema)
+    schema = f"doc_id {dict(scored.dtypes)['doc_id']}, lang_pred string, score double, rejected boolean"
+    return scored.select("doc_id", "_length", "_some", "_entropy").mapInArrow(turn, schema)
+
+
+def _unknown(rows: DataFrame) -> DataFrame:
+    """What is said of rows when no language is learned."""
+    return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score and rejected of every row."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    return judged(entropies(rows, model, ["doc_id"]), model) if model.langs else _unknown(rows)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -356,10 +370,16 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of all documents; the model has seen only those that are not held out."""
+    """The language of all documents; the model and its limits have seen only those that are not held out. Every document
+    is scored once: the limits come from the same entropies as the predictions."""
     docs = read(spark, sf_dir, "documents")
-    model = train(docs.where(~held_out()))
-    return identify(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+    model = learned(docs.where(~held_out()))
+    if model.langs:
+        scored = written(entropies(docs, model, ["doc_id", "lang"]), "entropies")
+        said = judged(scored, calibrated(model, scored.where(~held_out()), "lang"))
+    else:
+        said = _unknown(docs)
+    return said.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 QUERIES = {"op6_language": op6_language}

@@ -98,6 +98,22 @@ def test_few_learned_texts_are_rejected(spark):
     assert got < 0.05
 
 
+def test_limits_come_from_all_learned_texts(spark):
+    """The band's mean and deviation are those of every learned text, in train() and in the query."""
+    docs = read(spark, SF, "documents").where("text is not null and lang is not null").where(~lid.held_out())
+    model = lid.train(docs)
+    seen = {}
+    for r in lid.entropies(docs, model, ["lang"]).where("_some").collect():
+        seen.setdefault((r.lang, int(lid.band_of(np.array([r["_length"]]))[0])), []).append(r["_entropy"][model.langs.index(r.lang)])
+    full = [(k, e) for k, e in seen.items() if len(e) >= lid.LEAST_IN_BAND]
+    assert len(full) > 4
+    for (lang, band), e in full:
+        uniform = -np.log(model.shards[0].value.uniform)
+        assert np.isclose(model.limits[model.langs.index(lang), band], min(uniform, np.mean(e) + lid.WIDTH * np.std(e)))
+    said, plain = ({r.doc_id: (r.lang_pred, r.score, r.rejected) for r in df.collect()} for df in (lid.op6_language(spark, SF), lid.identify(read(spark, SF, "documents"), model)))
+    assert said == plain
+
+
 def test_held_out_accuracy(spark):
     docs = read(spark, SF, "documents")
     got = lid.op6_language(spark, SF).collect()
