@@ -16,12 +16,14 @@ share does not make them candidates.
    What is linked is merged. There are at most as many pairs as nodes.
 5. Neighbours: in lists that still span components, every node is held against the next ``NEXT`` of each list, in an
    order of the list's own, and its ``NEAREST`` by a parity sketch (a lower bound of the symmetric difference) are
-   compared. This takes time in the length of the lists, and a group of near copies of which only some are linked
-   becomes one component here, before anything looks at all its pairs.
+   taken. Over all lists, a node's ``NEAREST`` and as many others are compared, so there are at most eight pairs a node,
+   however many lists a group shares. This takes time in the length of the lists, and a group of near copies of which
+   only some are linked becomes one component here, before anything looks at all its pairs.
 6. The rest, exactly: in every list that still spans components, all pairs of different components are candidates if
    sizes and sketches allow the similarity.
 
-The candidates of 5 and 6 are intersected over all orders and verified on the sets.
+What a step links is merged by its classes' labels, so that links inside of a class are walked once and not in every
+later step. The candidates of 5 and 6 are intersected over all orders and verified on the sets.
 
 Lists of very frequent tokens, found on a sample, are split into blocks, and pairs of blocks meet in tasks of their own;
 the sample decides nothing else.
@@ -42,7 +44,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from lodestream.llm.common import kept, partitions, read, ship, text_of, written
-from lodestream.llm.components import components
+from lodestream.llm.components import components, merged
 from lodestream.llm.words import MULTIPLIER, filled, mix, words
 
 WORDS, PERCENT, ORDERS = 5, 80, 2
@@ -286,9 +288,18 @@ def _nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, most: int) -> np.n
     return out
 
 
+def _few(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, apart), those that are among the ``NEAREST`` nearest of one of their nodes, or among as many that
+    are drawn for it: the nearest alone may fall into small circles."""
+    ends = pairs.withColumn("node", F.col("a")).union(pairs.withColumn("node", F.col("b")))
+    of_node = W.partitionBy("node")
+    ranked = ends.withColumns({"r0": F.row_number().over(of_node.orderBy("apart", "a", "b")), "r1": F.row_number().over(of_node.orderBy(F.xxhash64("a", "b"), "a", "b"))})
+    return ranked.where((F.col("r0") <= NEAREST) | (F.col("r1") <= NEAREST)).select("a", "b").distinct()
+
+
 def _candidates(rows: DataFrame, percent: int = PERCENT, near: bool = False) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes of different components in the same list whose sizes and sketches allow a link; if
-    ``near``, only those that stand near each other in a list, and the nearest of each node.
+    """Pairs (a, b, apart), a < b, of nodes of different components in the same list whose sizes and sketches allow a link,
+    with their sketches' difference; if ``near``, only those that stand near each other in a list, and the nearest of each node.
     rows: low, part, token, x, y (the list, or two blocks of it), node, n, label; and a row without a token but with the
     sketch for each node of a part. A pair is in many lists; lists with the same least node (low) are dealt to the same
     task, which gives each pair once. Where these have very many rows, they are dealt in parts."""
@@ -354,7 +365,7 @@ def _candidates(rows: DataFrame, percent: int = PERCENT, near: bool = False) ->
                     many = found[0].shape[1]
                     most = max(MOST_HELD, 2 * many)
             pairs = once(found)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b", "apart"])
 
         for b in batches:
             held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
@@ -372,7 +383,7 @@ def _candidates(rows: DataFrame, percent: int = PERCENT, near: bool = False) ->
     spark = rows.sparkSession
     inside = [F.xxhash64("node", "token")] if near else ["n", "node"]
     dealt = rows.select(*cols).repartition(partitions(spark), "low", "part").sortWithinPartitions("low", "part", "token", "x", "y", *inside)
-    return dealt.mapInArrow(turn, "a long, b long").distinct()
+    return dealt.mapInArrow(turn, "a long, b long, apart long").distinct()
 
 
 def _spanning(lists: DataFrame, labels: DataFrame, sets: DataFrame, split: bool) -> DataFrame:
@@ -454,14 +465,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, orders:
 
     lists = [_lists(x) for x in shared]
     links = written(verified(plausible(_stars(lists), sets, percent), sets, percent), "stars", small=True)
+    labels = components(links)
     for near in (True, False):
-        labels = components(links)
         found = None
         for x in lists:
             here = written(_candidates(_spanning(x, labels, sets, split), percent, near), "candidates", small=True)
             found = here if found is None else found.join(here, ["a", "b"], "left_semi")
-        links = links.union(written(verified(found, sets, percent), "links", small=True))
-    labels = components(links)
+        labels = merged(labels, written(verified(_few(found) if near else found.select("a", "b"), sets, percent), "links", small=True))
 
     leasts = labels.join(nodes, "node").groupBy("label").agg(F.min("least").alias("component"))
     named = labels.join(leasts, "label")

@@ -7,9 +7,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodestream.llm import components as components_module
 from lodestream.llm import jaccard as j
 from lodestream.llm.common import read
-from lodestream.llm.components import components
+from lodestream.llm.components import components, merged
 
 
 def shingles(text):
@@ -154,3 +155,50 @@ def test_short_texts_and_shingles():
     sets = j.shingle_sets(pa.array(["a b c d e f", "A B C D E F", "a b", "", "b a", "a b c d e"]))
     assert [len(s) for s in sets] == [2, 2, 1, 0, 1, 1]
     assert (sets[0] == sets[1]).all() and sets[2][0] != sets[4][0] and sets[5][0] in sets[0]
+
+
+def test_work_on_a_group_of_linked_near_copies_does_not_grow_with_its_square(spark, monkeypatch):
+    """Pairs that are compared, and links that are walked, for a group of which no two share all edits."""
+    rng = random.Random(7)
+    sizes = {}
+    for m, names in ((j, ("pairs",)), (components_module, ("links",))):
+
+        def watched(df, name, small=False, to=m.written, names=names):
+            out = to(df, name, small)
+            if name in names:
+                sizes.setdefault(name, []).append(out.count())
+            return out
+
+        monkeypatch.setattr(m, "written", watched)
+    rows = []
+    for d in range(500):
+        words = [f"b{k}" for k in range(150)]
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(150)] = f"x{rng.randrange(10**7)}"
+        rows.append((d, " ".join(words)))
+    got = found(j.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert got == brute(rows)
+    assert max(sizes["pairs"]) <= 2 * j.NEAREST * len(rows)
+    assert sum(sizes["links"]) <= 2 * j.NEAREST * len(rows)  # of all rounds
+
+
+def test_merged_labels_are_those_of_all_links_together(spark):
+    rng = random.Random(3)
+    node = lambda: rng.randrange(-60, 60)
+    for n, more in ((60, 40), (0, 30), (30, 0), (90, 90)):
+        first, then = ([(node(), node()) for _ in range(k)] for k in (n, more))
+        frame = lambda links: spark.createDataFrame(links, "a long, b long")
+        got = {r.node: r.label for r in merged(components(frame(first)), frame(then)).collect()}
+        assert got == {r.node: r.label for r in components(frame(first + then)).collect()}
+        near = {}
+        for a, b in first + then:
+            near.setdefault(a, {a}).add(b)
+            near.setdefault(b, {b}).add(a)
+        for v, label in got.items():
+            seen, todo = {v}, [v]
+            while todo:
+                new = near[todo.pop()] - seen
+                seen |= new
+                todo += new
+            assert label == min(seen)
+        assert set(got) == {v for link in first + then if link[0] != link[1] for v in link}
