@@ -96,6 +96,7 @@ class Spelling:
     number: np.ndarray
     most: np.ndarray  # by item: edits within the tolerance
     chars: np.ndarray  # by item
+    maybe: np.ndarray  # which hashes of a run's first characters are worth a look: as many as the shortest run has
     runs: list[Runs]
     first: np.ndarray  # by item, one more: pieces
     width: np.ndarray  # by piece
@@ -244,6 +245,18 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
+def rolled(codes: np.ndarray, length: int) -> np.ndarray:
+    """A polynomial hash of every ``length`` consecutive characters, by doubling."""
+    h, m = codes, 1
+    for bit in bin(length)[3:]:
+        h = h[:-m] * np.uint64(pow(int(CHARACTER), m, 1 << 64)) + h[m:]
+        m *= 2
+        if bit == "1":
+            h = h[:-1] * CHARACTER + codes[m : m + max(len(h) - 1, 0)]
+            m += 1
+    return h
+
+
 def spelling(texts: list[str], tolerance: float) -> Spelling:
     """The items' characters for one tolerance."""
     codes = [_codes(t) for t in texts]
@@ -257,10 +270,11 @@ def spelling(texts: list[str], tolerance: float) -> Spelling:
         if len(c):
             q = run_length(len(c), min(int(most[item]), len(c)))
             places = np.arange(len(c) - q + 1)
-            h = np.zeros(len(places), np.uint64)
-            for k in range(q):
-                h = h * CHARACTER + number[c[k : k + len(places)]]
-            by_length.setdefault(q, []).append((h, np.full(len(places), item), places))
+            by_length.setdefault(q, []).append((rolled(number[c].astype(np.uint64), q), np.full(len(places), item), places))
+    begun, short = np.zeros(1 << 20, bool), min(by_length, default=0)
+    for found in by_length.values():
+        for h, item, _ in found:
+            begun[(rolled(number[codes[item[0]]].astype(np.uint64), short)[: len(h)] >> np.uint64(44)).astype(np.int64)] = True
     runs = []
     for q, found in sorted(by_length.items()):
         h, item, place = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -277,7 +291,7 @@ def spelling(texts: list[str], tolerance: float) -> Spelling:
             part = number[c[k * PIECE : (k + 1) * PIECE]]
             width[first[item] + k] = len(part)
             np.bitwise_or.at(bits[first[item] + k], part, np.uint64(1) << np.arange(len(part), dtype=np.uint64))
-    return Spelling(number, most, chars, runs, first, width, bits)
+    return Spelling(number, most, chars, begun, runs, first, width, bits)
 
 
 def spelled(w: Words, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,20 +315,22 @@ def run_hits(sp: Spelling, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """(item, place of the run, where the item would begin) for every run of an item in the characters."""
     items, places, begins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     last = max((r.length for r in sp.runs), default=0)
-    for cut in range(0, len(codes), CHUNK):
+    for cut in range(0, len(codes) if sp.runs else 0, CHUNK):
         part = codes[cut : cut + CHUNK + last - 1].astype(np.uint64)
-        h = np.zeros(min(CHUNK, len(codes) - cut), np.uint64)
-        at = 0
+        length = sp.runs[0].length
+        h = rolled(part, length)[: min(CHUNK, len(codes) - cut)]
+        at = np.flatnonzero(sp.maybe[h >> np.uint64(44)])  # the longer runs are looked for only where one may begin
+        h = h[at]
         for r in sp.runs:
-            for k in range(at, r.length):
-                h = h[: max(len(part) - k, 0)]
-                h *= CHARACTER
-                h += part[k : k + len(h)]
-            at = r.length
+            inside = np.searchsorted(at, len(part) - r.length, "right")
+            at, h = at[:inside], h[:inside]
+            for k in range(length, r.length):
+                h = h * CHARACTER + part[at + k]
+            length = r.length
             hit = np.flatnonzero(r.maybe[h >> np.uint64(44)])
             key = np.minimum(np.searchsorted(r.hashes, h[hit]), len(r.hashes) - 1)
             same = r.hashes[key] == h[hit]
-            hit, key = hit[same], key[same]
+            hit, key = at[hit[same]], key[same]
             many = r.first[key + 1] - r.first[key]
             posting = np.repeat(r.first[key] - np.cumsum(many) + many, many) + np.arange(many.sum())
             items.append(r.item[posting])

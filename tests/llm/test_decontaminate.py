@@ -171,3 +171,26 @@ def test_bound_of_pieces():
     exact = np.array([d.closest(items[i], text[a:b])[0] for i, a, b in rows])
     one = np.array([len(items[i]) <= 64 for i in item])
     assert (bound <= exact).all() and (bound == exact)[one].all()
+
+
+def test_runs_are_looked_for_only_where_one_may_begin():
+    """All runs of all lengths are found, to the end of the characters and over the borders of chunks; few places are hashed in full."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 7)))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([1, 3, 8, 20, 60, 120])]
+    index = d.build(items)
+    noise = lambda n: " ".join(word() for _ in range(n))
+    texts = pa.array([f"{noise(9000)} {t} {noise(7)}" for _, t in items] + [t for _, t in items] + ["", "a"])
+    w, sp = d.lowered(texts), index.spelling(0.2)
+    codes, _ = d.spelled(w, sp.number)
+    assert len(codes) > d.CHUNK and len(sp.runs) > 2
+    want = set()
+    for r in sp.runs:
+        h = np.zeros(len(codes) - r.length + 1, np.uint64)
+        for k in range(r.length):
+            h = h * d.CHARACTER + codes[k : k + len(h)]
+        assert (d.rolled(codes.astype(np.uint64), r.length) == h).all()
+        key = np.minimum(np.searchsorted(r.hashes, h), len(r.hashes) - 1)
+        for at in np.flatnonzero(r.hashes[key] == h).tolist():
+            want |= {(int(r.item[x]), at, at - int(r.place[x])) for x in range(r.first[key[at]], r.first[key[at] + 1])}
+    assert set(zip(*(x.tolist() for x in d.run_hits(sp, codes)), strict=True)) == want
