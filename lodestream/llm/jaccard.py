@@ -25,8 +25,9 @@ share does not make them candidates.
 What a step links is merged by its classes' labels, so that links inside of a class are walked once and not in every
 later step. The candidates of 5 and 6 are intersected over all orders and verified on the sets.
 
-Lists of very frequent tokens, found on a sample, are split into blocks, and pairs of blocks meet in tasks of their own;
-the sample decides nothing else.
+Lists of very frequent tokens, found on a sample, are split into blocks, and so are counted by several tasks; the sample
+decides nothing else. In 5 and 6 a node brings its sketch once for all lists with the same least node. Only where these
+have very many rows, their nodes are dealt to several tasks: to two at most in 5, to pairs of blocks in 6.
 
 Defined cases: null and blank texts have an empty set and are linked with nothing; a text of fewer than WORDS words is
 one shingle; repeated rows and copies are one node; documents with a null id get a component only if another document
@@ -38,6 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -57,7 +59,7 @@ SAMPLED, HOT, MOST_HOT = 64, 60, 1 << 16
 BLOCK_ROWS = 4000
 #: So many rows of lists are looked at together; of their pairs each is given once.
 LEAST_DONE = 100_000
-#: Lists with the same least node and more rows than this are dealt to several tasks.
+#: Nodes of lists with the same least node and more rows than this are dealt to several tasks.
 PART_ROWS = 20_000
 #: Up to so many nodes are fetched by a broadcast of their ids (8 bytes each).
 MOST_BROADCAST = 500_000
@@ -205,17 +207,17 @@ def _lists(shared: DataFrame) -> DataFrame:
 
 
 def _spans(lists: DataFrame, labels: DataFrame, split: bool) -> DataFrame:
-    """Rows of the lists that hold several components, with each node's component (label) and the list's least node (low;
-    of a list in blocks, its token). ``split``: whether any list is in blocks; MOST_HOT lists are at most."""
+    """Rows of the lists that hold several components, with each node's component (label) and the list's least node (low).
+    ``split``: whether any list is in blocks; MOST_HOT lists are at most."""
     few = labels.count() <= MOST_BROADCAST
     block = W.partitionBy("token", "block")
     rows = lists.join(F.broadcast(labels) if few else labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = rows.repartition(partitions(rows.sparkSession), "token", "block").withColumns({"low": F.min("node").over(block), "l0": F.min("label").over(block), "l1": F.max("label").over(block)})
     whole = rows.where("blocks = 1 and l0 <> l1") if split else rows.where("l0 <> l1")
     if split:
-        several = rows.where("blocks > 1").groupBy("token").agg(F.min("l0").alias("l0"), F.max("l1").alias("l1")).where("l0 <> l1").select("token")
-        whole = whole.unionByName(rows.where("blocks > 1").withColumn("low", F.col("token")).join(F.broadcast(several), "token", "left_semi"))
-    return whole.drop("l0", "l1")
+        several = rows.where("blocks > 1").groupBy("token").agg(F.min("l0").alias("l0"), F.max("l1").alias("l1"), F.min("low").alias("low")).where("l0 <> l1").select("token", "low")
+        whole = whole.unionByName(rows.where("blocks > 1").drop("low").join(F.broadcast(several), "token"))
+    return whole.select("low", "node", "n", "label", "token")
 
 
 def _stars(lists: list[DataFrame]) -> DataFrame:
@@ -300,18 +302,18 @@ def _few(pairs: DataFrame) -> DataFrame:
 def _candidates(rows: DataFrame, percent: int = PERCENT, near: bool = False) -> DataFrame:
     """Pairs (a, b, apart), a < b, of nodes of different components in the same list whose sizes and sketches allow a link,
     with their sketches' difference; if ``near``, only those that stand near each other in a list, and the nearest of each node.
-    rows: low, part, token, x, y (the list, or two blocks of it), node, n, label; and a row without a token but with the
-    sketch for each node of a part. A pair is in many lists; lists with the same least node (low) are dealt to the same
-    task, which gives each pair once. Where these have very many rows, they are dealt in parts."""
-    cols = ("token", "x", "y", "low", "part", "node", "n", "label", "block", "sketch")
+    rows: low, x, y (a part of the lists of a least node, or two blocks of its nodes), block, node, n, label, tokens (the
+    node's lists) and sketch. A pair is in many lists; those with the same least node (low) are dealt to the same task,
+    which gives each pair once. Where these have very many rows, their nodes are dealt in parts."""
+    cols = ("low", "x", "y", "block", "node", "n", "label", "sketch", "tokens")
 
     def bounded(t: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Of the pairs of rows (i, j), nodes and sketch difference of those that pass all filters."""
         small, large = np.minimum(t["n"][i], t["n"][j]), np.maximum(t["n"][i], t["n"][j])
-        own = (t["x"][i] == t["y"][i]) | (t["block"][i] != t["block"][j])  # rows of one block meet in the block's own list
+        own = (t["x"][i] == t["y"][i]) | (t["block"][i] != t["block"][j])  # nodes of one block meet in the block's own part
         ok = (t["label"][i] != t["label"][j]) & (100 * small >= percent * large) & own
         i, j = i[ok], j[ok]
-        apart = np.bitwise_count(t["sketch"][i] ^ t["sketch"][j]).sum(1, dtype=np.int64)
+        apart = np.bitwise_count(t["sketch"][t["row"][i]] ^ t["sketch"][t["row"][j]]).sum(1, dtype=np.int64)
         ok = apart <= _allowed(t["n"][i], t["n"][j], percent)
         v, u = t["node"][i[ok]], t["node"][j[ok]]
         return np.stack((np.minimum(v, u), np.maximum(v, u), apart[ok]))
@@ -319,7 +321,7 @@ def _candidates(rows: DataFrame, percent: int = PERCENT, near: bool = False) ->
     def of_lists(t: dict) -> Iterator[np.ndarray]:
         """Pairs in whole lists."""
         n = len(t["token"])
-        change = np.flatnonzero(np.r_[True, (t["token"][1:] != t["token"][:-1]) | (t["x"][1:] != t["x"][:-1]) | (t["y"][1:] != t["y"][:-1])])
+        change = np.flatnonzero(np.r_[True, (t["token"][1:] != t["token"][:-1]) | (t["group"][1:] != t["group"][:-1])])
         sizes = np.diff(np.r_[change, n])
         last = np.repeat(change + sizes, sizes)  # where each row's list ends
         rows = np.arange(n)
@@ -337,6 +339,9 @@ def _candidates(rows: DataFrame, percent: int = PERCENT, near: bool = False) ->
                 far = place[(np.abs(place - k) >= NEXT) & ((which == most) | (place > k))]
                 yield bounded(t, np.full(len(far), start + k), start + far)
 
+    def entries(table: pa.Table) -> np.ndarray:
+        return pc.list_value_length(table.column("tokens")).to_numpy()
+
     def once(found: list[np.ndarray]) -> np.ndarray:
         pairs = np.unique(np.concatenate(found, 1), axis=1)
         return pairs[:, _nearest(*pairs, NEAREST)] if near else pairs
@@ -346,16 +351,14 @@ def _candidates(rows: DataFrame, percent: int = PERCENT, near: bool = False) ->
 
         def done(table: pa.Table) -> pa.RecordBatch:
             table = table.combine_chunks()
-            low, part, node = (table.column(c).to_numpy() for c in ("low", "part", "node"))
-            group = np.cumsum(np.r_[False, (low[1:] != low[:-1]) | (part[1:] != part[:-1])])
-            nodes, number = np.unique(node, return_inverse=True)
-            key = group * len(nodes) + number  # a node of a part
-            listed = table.column("token").is_valid().to_numpy()
-            sketches = _words_of(table.column("sketch").filter(pa.array(~listed)))
-            by_key = np.argsort(key[~listed])
-            lists = table.filter(pa.array(listed))
-            t = {c: lists.column(c).to_numpy() for c in cols[:-1]}
-            t["sketch"] = sketches[by_key[np.searchsorted(key[~listed][by_key], key[listed])]]
+            at = {c: table.column(c).to_numpy() for c in cols[:7]}
+            at["group"] = np.cumsum(np.r_[False, np.any([at[c][1:] != at[c][:-1] for c in ("low", "x", "y")], axis=0)])
+            row = np.repeat(np.arange(len(table)), entries(table))  # a row for each node in each of its lists
+            token = table.column("tokens").combine_chunks().flatten().to_numpy()
+            inside = [mix(at["node"][row].view(np.uint64) ^ mix(token.view(np.uint64)))] if near else [at["node"][row], at["n"][row]]
+            order = np.lexsort((*inside, token, at["group"][row]))
+            row = row[order]
+            t = {c: v[row] for c, v in at.items()} | {"token": token[order], "row": row, "sketch": _words_of(table.column("sketch"))}
             found, many, most = [np.zeros((3, 0), np.int64)], 0, MOST_HELD
             for p in of_lists(t):
                 found.append(p)
@@ -369,39 +372,52 @@ def _candidates(rows: DataFrame, percent: int = PERCENT, near: bool = False) ->
 
         for b in batches:
             held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            low, part = (held.column(c).to_numpy() for c in ("low", "part"))
-            if not len(low):
+            if not len(held):
                 continue
-            open_ = np.flatnonzero((low != low[-1]) | (part != part[-1]))
+            open_ = np.flatnonzero(np.any([(v := held.column(c).to_numpy()) != v[-1] for c in ("low", "x", "y")], axis=0))
             cut = int(open_[-1]) + 1 if len(open_) else 0
-            if cut > LEAST_DONE:
+            if entries(held.slice(0, cut)).sum() > LEAST_DONE:
                 yield done(held.slice(0, cut))
                 held = held.slice(cut)
         if held is not None and len(held):
             yield done(held)
 
-    spark = rows.sparkSession
-    inside = [F.xxhash64("node", "token")] if near else ["n", "node"]
-    dealt = rows.select(*cols).repartition(partitions(spark), "low", "part").sortWithinPartitions("low", "part", "token", "x", "y", *inside)
+    dealt = rows.select(*cols).repartition(partitions(rows.sparkSession), "low", "x", "y").sortWithinPartitions("low", "x", "y")
     return dealt.mapInArrow(turn, "a long, b long, apart long").distinct()
 
 
-def _spanning(lists: DataFrame, labels: DataFrame, sets: DataFrame, split: bool) -> DataFrame:
-    """Rows for ``_candidates``: lists that hold several components, with each node's label, and the sketches. Lists of the
-    same least node are dealt together, or in parts of about PART_ROWS rows; of a list in blocks, each pair of blocks is
-    dealt by itself."""
-    rows = written(_spans(lists, labels, split), "spans")
-    heavy = rows.where("blocks = 1").groupBy("low").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > PART_ROWS)
-    heavy = written(heavy, "heavy", small=True)
+def _spanning(lists: DataFrame, labels: DataFrame, sets: DataFrame, split: bool, near: bool) -> DataFrame:
+    """Rows for ``_candidates``: a row per node and least node of its lists that hold several components, with these lists
+    and the sketch, which is fetched once for all of them. Where a least node has very many rows, its nodes are dealt:
+    if ``near``, in parts, by one hash of the node for one half of the lists and by another for the other half, so that
+    a node is in two parts at most and joins them; else in blocks that meet in pairs. Nodes of the least node's largest
+    component have blocks of their own, which need not meet each other."""
+    rows = written(_spans(lists, labels, split).groupBy("low", "node").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.collect_list("token").alias("tokens")), "spans")
+    by_label = rows.groupBy("low", "label").agg(F.sum(F.size("tokens")).alias("size"))
+    heavy = by_label.groupBy("low").agg(F.sum("size").alias("size"), F.max(F.struct("size", "label")).alias("most")).where(F.col("size") > PART_ROWS)
+    blocks = lambda size: F.floor(size / PART_ROWS) + 1
+    # A power of two, so that the parts of one order are whole parts of the other's, or the other way round.
+    parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("size") / (2 * PART_ROWS))))).cast("long").alias("parts")
+    heavy = written(heavy.select("low", parts, F.col("most.label").alias("largest"), blocks(F.col("most.size")).alias("inner"), blocks(F.col("size") - F.col("most.size")).alias("outer")), "heavy", small=True)
     if heavy.count() <= MOST_BROADCAST:
         heavy = F.broadcast(heavy)  # the rows stay where they are; those of one low may be a third of all
-    # Each row goes to its block paired with every block of the list, once for the pair.
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
-    rows = rows.join(heavy, "low", "left").withColumn("p", F.explode(pairs))
-    part = F.when(F.col("blocks") > 1, F.xxhash64("p.x", "p.y")).otherwise(F.pmod(F.xxhash64("token"), F.floor(F.coalesce("size", F.lit(0)) / PART_ROWS) + 1))
-    rows = rows.select("token", "p.x", "p.y", "low", part.alias("part"), "node", "n", "label", "block")
-    about = rows.select("low", "part", "node").distinct().join(sets.select("node", "sketch"), "node")
-    return rows.unionByName(about, allowMissingColumns=True)
+    rows = rows.join(sets.select("node", "sketch"), "node").join(heavy, "low", "left")
+    zero = F.lit(0).cast("long")
+    if near:
+
+        def half(k: int):
+            part = F.pmod(F.xxhash64("node", F.lit(k)), F.col("parts")) * 2 + k
+            return F.struct(part.alias("x"), part.alias("y"), F.filter("tokens", lambda t: F.pmod(F.xxhash64(t), F.lit(2)) == k).alias("tokens"))
+
+        whole = F.struct(zero.alias("x"), zero.alias("y"), F.col("tokens").alias("tokens"))
+        dealt = rows.withColumn("p", F.explode(F.when(F.col("parts").isNull(), F.array(whole)).otherwise(F.array(half(0), half(1))))).withColumn("block", zero)
+        return dealt.select("low", "p.x", "p.y", "block", "node", "n", "label", "sketch", "p.tokens").where(F.size("tokens") > 0)
+    own = F.col("label") == F.col("largest")
+    block = F.when(own, F.col("outer") + F.pmod(F.xxhash64("node"), F.col("inner"))).otherwise(F.pmod(F.xxhash64("node"), F.col("outer")))
+    rows = rows.withColumn("block", F.coalesce(block, zero))
+    others = F.sequence(zero, F.coalesce(F.col("outer") - 1 + F.when(own, zero).otherwise(F.col("inner")), zero))
+    pairs = F.transform(others, lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
+    return rows.withColumn("p", F.explode(pairs)).select("low", "p.x", "p.y", "block", "node", "n", "label", "sketch", "tokens")
 
 
 SETS = "node long, n long, sketch binary, tokens binary"
@@ -469,7 +485,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, orders:
     for near in (True, False):
         found = None
         for x in lists:
-            here = written(_candidates(_spanning(x, labels, sets, split), percent, near), "candidates", small=True)
+            here = written(_candidates(_spanning(x, labels, sets, split, near), percent, near), "candidates", small=True)
             found = here if found is None else found.join(here, ["a", "b"], "left_semi")
         labels = merged(labels, written(verified(_few(found) if near else found.select("a", "b"), sets, percent), "links", small=True))
 

@@ -202,3 +202,32 @@ def test_merged_labels_are_those_of_all_links_together(spark):
                 todo += new
             assert label == min(seen)
         assert set(got) == {v for link in first + then if link[0] != link[1] for v in link}
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_a_node_of_a_large_group_brings_its_sketch_to_two_tasks_at_most_before_the_exact_step(spark, monkeypatch, split):
+    """To two for each least node of its lists, however many parts these have, and whether or not some are in blocks."""
+    monkeypatch.setattr(j, "PART_ROWS", 500)
+    if split:
+        monkeypatch.setattr(j, "BLOCK_ROWS", 50)
+        monkeypatch.setattr(j, "SAMPLED", 2)
+        monkeypatch.setattr(j, "HOT", 60)
+    seen, candidates = [], j._candidates
+
+    def watched(rows, percent, near):
+        if near:
+            brought = rows.where("sketch is not null").groupBy("node").count()
+            seen.append(brought.agg(F.sum("count"), F.max("count")).first())
+        return candidates(rows, percent, near)
+
+    monkeypatch.setattr(j, "_candidates", watched)
+    rng = random.Random(7)
+    rows = []
+    for d in range(300):
+        words = [f"b{k}" for k in range(150)]
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(150)] = f"x{rng.randrange(10**7)}"
+        rows.append((d, " ".join(words)))
+    got = found(j.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert got == brute(rows)
+    assert len(seen) == j.ORDERS and max(total for total, _ in seen) <= 4 * len(rows)
